@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a text is cut into words before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose tokens a worker remembers; a full store is emptied.
-REMEMBERED = 250_000
+#: Words whose tokens a worker remembers; a full store keeps what the batch at hand uses.
+REMEMBERED = 400_000
 NONE = np.int64(1 << 40)
 
 
@@ -62,28 +62,35 @@ class Codec:
     def merge(self, symbols: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, in order, and how many each word has. symbols: byte tokens; word: number of each symbol's word, ascending, none empty."""
         done_tokens, done_words = [], []
+        last = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)  # of its word
+        ranks = np.full(len(symbols), NONE)  # of each symbol with its successor
+        at = np.flatnonzero(~last)
+        ranks[at] = self.rank(symbols[at], symbols[at + 1])
         while len(symbols):
-            ranks = np.full(len(symbols), NONE)
-            same = word[1:] == word[:-1]
-            at = np.flatnonzero(same)
-            ranks[at] = self.rank(symbols[at], symbols[at + 1])
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
             lengths = np.diff(np.append(starts, len(symbols)))
             least = np.minimum.reduceat(ranks, starts)
             over = np.repeat(least == NONE, lengths)
             if over.any():
                 done_tokens.append(symbols[over])
                 done_words.append(word[over])
-            hit = (ranks == np.repeat(least, lengths)) & ~over
-            where = np.flatnonzero(hit)
+            where = np.flatnonzero((ranks == np.repeat(least, lengths)) & ~over)
             # of overlapping hits (runs of neighbours) every second one counts, from the left
-            run = np.concatenate([[True], np.diff(where) > 1]) if len(where) else np.zeros(0, bool)
-            first = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0)) if len(where) else where
+            run = np.concatenate([[True], np.diff(where) > 1])[: len(where)]
+            first = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
             where = where[(np.arange(len(where)) - first) % 2 == 0]
             symbols[where] = ranks[where]
+            last[where] = last[where + 1]
             keep = ~over
             keep[where + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            moved = np.cumsum(keep)[where] - 1
+            symbols, word, last, ranks = symbols[keep], word[keep], last[keep], ranks[keep]
+            # only the pairs that a merged symbol takes part in have new ranks
+            before = moved[moved > 0] - 1
+            at = np.concatenate([moved, before[~last[before]]])
+            ranks[at] = NONE
+            at = at[~last[at]]
+            ranks[at] = self.rank(symbols[at], symbols[at + 1])
         if not done_tokens:
             return np.zeros(0, np.int64), np.zeros(words, np.int64)
         tokens, owner = np.concatenate(done_tokens), np.concatenate(done_words)
@@ -102,10 +109,11 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Tokens of each text as packed int32."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         cut = [self.split(t) if t is not None else None for t in texts]
-        new = set().union(*(c for c in cut if c)).difference(self.known)
+        used = set().union(*(c for c in cut if c))
+        if len(self.known) > REMEMBERED:  # what this batch uses stays, usual words among it
+            self.known = {w: self.known[w] for w in used.intersection(self.known)}
+        new = used.difference(self.known)
         if new:
             self.learn(list(new))
         get = self.known.__getitem__

@@ -156,7 +156,8 @@ class Lines:
         self.now, self.space, self.due, self.prefix, self.mark = [], False, 0, "", ""
 
     def text(self, s: str) -> None:
-        s = SPACE.sub(" ", s)
+        if "  " in s or "\n" in s or "\t" in s or "\r" in s or "\f" in s:
+            s = SPACE.sub(" ", s)
         if s[:1] == " ":
             self.space = bool(self.now)
             s = s[1:]
