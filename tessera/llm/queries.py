@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, html, packing, sharding, toxicity, wordpiece
+from tessera.llm import bpe, fingerprints, html, jaccard, packing, sharding, toxicity, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(table(spark, sf_dir, "labels"), docs)).where("toxic")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_sharding, op4_packing, op5_fingerprints, op6_token_counts, op7_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_html, op2_sharding, op4_packing, op5_fingerprints, op6_token_counts, op7_toxicity, op9_jaccard, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
