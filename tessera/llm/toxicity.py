@@ -7,8 +7,9 @@ insult aimed at a target scores more, and one under a negation ("not an idiot")
 an idiot") scores a fraction. A text's score is the sum over its clauses; it is toxic from ``threshold`` on.
 
 The insult words are a short built-in English list and the words learned from labelled documents: at most ``fit_rows``
-labelled rows (a bounded sample, chosen by a hash of the id) give the document counts by label; a word joins the lexicon if
-a binomial test rejects, at ``p_value``, that it is as usual in clean documents. Scoring covers every document.
+labelled rows (a bounded sample, chosen by a hash of the id) give the counts by label; a word joins the lexicon if a binomial
+test rejects, at ``p_value``, that it is as usual in clean documents. What is counted are a word's distinct contexts (the
+words around it), so that copies of one document count once. Scoring covers every document.
 
 Edge cases: a null or empty text scores 0 and is kept; a null label or id is left out of the fit; no labels at all leave the
 built-in list; repeated rows are scored one by one alike; extra columns pass through untouched in the pipeline stage.
@@ -30,8 +31,8 @@ FIT_ROWS = 20_000
 THRESHOLD = 1.0
 #: Chance below which a word's toxic share is no accident.
 P_VALUE = 1e-6
-#: Lower bound of the odds of a learned word, toxic against clean.
-MIN_ODDS = 8.0
+#: Lower bound of the odds of a learned word, toxic against clean, and the odds that alone make a document toxic.
+MIN_ODDS, SURE_ODDS = 8.0, 100.0
 
 INSULTS = "idiot idiots moron morons loser losers scum clown clowns trash stupid pathetic worthless disgusting imbecile imbeciles dumbass dimwit halfwit cretin vermin subhuman jerk bastard bastards filth".split()
 THREATS = "kill murder destroy hurt beat strangle stab shoot smash crush".split()
@@ -129,8 +130,8 @@ class Grammar:
         return round(sum(found), 6), len(found)
 
 
-def word_counts(labels: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Documents by label that hold each word, over at most fit_rows labelled rows: word, toxic, clean."""
+def labelled(labels: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """toxic and text of the documents of at most fit_rows labelled rows; an id with several labels is toxic if one is."""
     sample = (
         labels.where("doc_id is not null and toxic is not null")
         .select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -139,18 +140,37 @@ def word_counts(labels: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) ->
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
     # the sample has at most fit_rows rows of two numbers, so its size is bounded whatever the input
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id").select("toxic", "text")
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """Documents of the sample by label that hold each word: word, toxic, clean. The word of one null character counts all."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
     return (
-        texts.join(F.broadcast(sample), "id")
-        .select("toxic", F.explode(F.array_append(words, F.lit("\0all"))).alias("word"))
+        sample.select("toxic", F.explode(F.array_append(words, F.lit("\0"))).alias("word"))
         .where("word <> ''")
         .groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     )
 
 
+def contexts(sample: DataFrame, words) -> DataFrame:
+    """Distinct contexts by label of the given words: word, toxic, clean. A context is the words before and after."""
+    wanted = frozenset(words)
+
+    def run(batches):
+        for b in batches:
+            found = set()
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                said = ["", *WORD.findall(text.lower()), ""]
+                found.update((w, f"{said[k - 1]} {said[k + 1]}", toxic) for k, w in enumerate(said) if w in wanted)
+            w, c, t = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(t, pa.int32())], names=["word", "context", "toxic"])
+
+    return sample.select("toxic", "text").mapInArrow(run, "word string, context string, toxic int").distinct().groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+
+
 def tail(k: int, n: int, p: float) -> float:
     """Upper bound (Chernoff) of the chance of k or more of n at rate p."""
     if k <= n * p:
@@ -160,20 +180,25 @@ def tail(k: int, n: int, p: float) -> float:
     return math.exp(-n * d)
 
 
+def learned(k: int, m: int, toxic: int, clean: int) -> float:
+    """Weight of a word with k toxic and m clean contexts in a sample of so many toxic and clean documents; 0 if it isn't learned."""
+    odds = ((k + 0.5) / (toxic + 1)) / ((m + 0.5) / (clean + 1))
+    if odds < MIN_ODDS or tail(k, k + m, toxic / (toxic + clean)) > P_VALUE:
+        return 0.0
+    return round(min(2.0, math.log(odds) / math.log(SURE_ODDS)), 4)
+
+
 def fit(labels: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
-    """The grammar with the built-in insults at weight 1 and the learned ones at a weight that grows with their log odds."""
+    """The grammar with the built-in insults at weight 1 and the learned ones at a weight that follows their log odds."""
     weights = {w: W_INSULT for w in INSULTS}
-    counts = word_counts(labels, docs, fit_rows)
-    rows = counts.where("word = '\0all' or toxic >= 3 and toxic > clean").collect()  # words of the sample that lean to toxic: bounded by fit_rows
-    total = next((r for r in rows if r.word == "\0all"), None)
+    sample = labelled(labels, docs, fit_rows)
+    # words of the sample that lean to toxic, so bounded by fit_rows
+    rows = word_counts(sample).where("word = '\0' or toxic >= 3 and toxic > clean").collect()
+    total = next((r for r in rows if r.word == "\0"), None)
     if total and total.toxic and total.clean:
-        share = total.toxic / (total.toxic + total.clean)
-        for r in rows:
-            if r.word == "\0all" or len(r.word) < 3:
-                continue
-            odds = ((r.toxic + 0.5) / (total.toxic + 1)) / ((r.clean + 0.5) / (total.clean + 1))
-            if odds >= MIN_ODDS and tail(r.toxic, r.toxic + r.clean, share) <= P_VALUE:
-                weights[r.word] = max(weights.get(r.word, 0.0), round(min(2.0, max(1.0, math.log(odds) / math.log(MIN_ODDS))), 4))
+        for r in contexts(sample, [r.word for r in rows if len(r.word) >= 3]).collect():
+            if w := learned(r.toxic, r.clean, total.toxic, total.clean):
+                weights[r.word] = max(weights.get(r.word, 0.0), w)
     return Grammar(weights)
 
 
