@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, html, jaccard, packing, sharding, toxicity, wordpiece
+from tessera.llm import bpe, fingerprints, html, jaccard, lines, packing, sharding, toxicity, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(table(spark, sf_dir, "labels"), docs)).where("toxic")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeats(table(spark, sf_dir, "documents")).drop("copy")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_sharding, op4_packing, op5_fingerprints, op6_token_counts, op7_toxicity, op9_jaccard, op10_bpe)}
+    return {f.__name__: f for f in (op1_html, op2_sharding, op4_packing, op5_fingerprints, op6_token_counts, op7_toxicity, op8_lines, op9_jaccard, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.SQL}
+    return {"op2_sharding": sharding.SQL, "op8_lines": lines.SQL}
