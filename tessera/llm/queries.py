@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, html, jaccard, lines, packing, sharding, toxicity, wordpiece
+from tessera.llm import bpe, fingerprints, html, jaccard, kdtree, lines, packing, sharding, toxicity, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, sharding.load(spark, path, 1), sharding.load(spark, path))
 
 
+def op3_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -58,8 +62,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_sharding, op4_packing, op5_fingerprints, op6_token_counts, op7_toxicity, op8_lines, op9_jaccard, op10_bpe)}
+    return {f.__name__: f for f in (op1_html, op2_sharding, op3_kdtree, op4_packing, op5_fingerprints, op6_token_counts, op7_toxicity, op8_lines, op9_jaccard, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.SQL, "op8_lines": lines.SQL}
+    return {"op2_sharding": sharding.SQL, "op3_kdtree": kdtree.SQL, "op8_lines": lines.SQL}
