@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.SQL, "op3_kdtree": kdtree.SQL, "op8_lines": lines.SQL}
+    return {"op2_sharding": sharding.SQL, "op3_kdtree": kdtree.SQL, "op8_lines": lines.SQL, "op9_jaccard": jaccard.SQL}
