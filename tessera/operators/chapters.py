@@ -44,7 +44,7 @@ def in_navigation(items: DataFrame, nav: DataFrame) -> DataFrame:
 def single_heading(items: DataFrame) -> DataFrame:
     """Items with exactly one heading that isn't empty, with heading (stripped)."""
     h = items.withColumn("h", headings(F.col("html")))
-    return h.where("size(h) = 1 and length(h[0]) > 0").withColumn("heading", strip(F.col("h")[0])).drop("h")
+    return h.where("size(h) = 1 and length(get(h, 0)) > 0").withColumn("heading", strip(F.get("h", F.lit(0)))).drop("h")
 
 
 def valid(chapters: DataFrame, names: list[str] | None = None) -> DataFrame:

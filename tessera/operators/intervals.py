@@ -66,6 +66,6 @@ def chunks(media: DataFrame, chunk_ms: int) -> DataFrame:
 
 
 def parse(lines: DataFrame, column: str = "line") -> DataFrame:
-    """'from to speaker' lines to columns speaker, from_s, to_s; other columns stay."""
+    """'from to speaker' lines to columns speaker, from_s, to_s, null where a line lacks them; other columns stay."""
     parts = F.split(F.trim(column), " ")
-    return lines.withColumn("from_s", parts[0].cast("double")).withColumn("to_s", parts[1].cast("double")).withColumn("speaker", parts[2]).drop(column)
+    return lines.withColumn("from_s", F.get(parts, F.lit(0)).try_cast("double")).withColumn("to_s", F.get(parts, F.lit(1)).try_cast("double")).withColumn("speaker", F.get(parts, F.lit(2))).drop(column)
