@@ -31,7 +31,7 @@ from tessera.llm import blobs
 from tessera.llm.common import buckets, checkpoint
 
 #: Edits allowed at most, and one for so many characters; part of a document's characters that may go.
-EDITS, PER, MOST = 2, 10, 0.5
+EDITS, PER, MOST = 2, 10, 0.3
 #: Characters compared at once.
 CELLS = 1 << 21
 AROUND = b" \t\r"

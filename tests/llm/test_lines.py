@@ -79,16 +79,17 @@ def test_empty_table(spark):
 
 def test_drop_repeats(spark):
     shared = "This line stands in many documents."
-    rows = [(1, f"{shared}\nThe first text has a line of its own here.", "a", 5), (2, f"The second text has another line, of course.\n{shared}", "b", 5), (3, shared, "c", 5), (None, None, "d", None), (4, f"{shared} \n\nOnly a blank line and a longer line are left here.", "e", 5)]
+    second, fourth = "The second text has another line, of course, " * 3 + "yes.", "Only a blank line and a longer line are left here, " * 3 + "so."
+    rows = [(1, f"{shared}\nThe first text has a line of its own here.", "a", 5), (2, f"{second}\n{shared}", "b", 5), (3, shared, "c", 5), (None, None, "d", None), (4, f"{shared} \n\n{fourth}", "e", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string, n_chars long")
     out = lines.drop_repeats(docs)
     assert out.columns == docs.columns
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == 5
     assert got[1].text == rows[0][1]
-    assert got[2].text == "The second text has another line, of course." and got[2].n_chars == len(got[2].text)
+    assert got[2].text == second and got[2].n_chars == len(got[2].text)
     assert got[3].text == shared  # a copy as a whole stays whole
-    assert got[4].text == "\nOnly a blank line and a longer line are left here."
+    assert got[4].text == "\n" + fourth
     assert got[None].text is None and got[None].h == "d"
 
 
