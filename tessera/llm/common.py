@@ -14,6 +14,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of text that Python works on at once.
+PIECE_ROWS, PIECE_BYTES = 2048, 8 << 20
 #: ASCII letters and digits and every byte of a multi-byte character belong to words.
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
@@ -43,6 +45,18 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def pieces(batches, column: int):
+    """The batches in slices of at most PIECE_ROWS rows and about PIECE_BYTES of text in a column, so that memory stays bounded."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + PIECE_ROWS, int(np.searchsorted(ends, before + PIECE_BYTES, side="right"))))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ngram_sets
+from tessera.llm.common import ngram_sets, pieces
 
 #: Words of a shingle, and the part of the hash range that is kept: one in so many.
 SHINGLE, SCALED = 5, 16
@@ -26,7 +26,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, scaled: int = SCALED) -> D
     limit = np.uint64((1 << 64) // scaled)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             sizes, kept = [], []
             for grams in ngram_sets(b.column(1), shingle):
                 sizes.append(len(grams))

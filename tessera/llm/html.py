@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import pieces
+
 #: Nesting beyond which elements aren't nested any deeper.
 DEPTH = 200
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
@@ -388,7 +390,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id and text for every row of pages."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([extract(h) for h in b.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string")

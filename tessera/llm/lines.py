@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm import blobs
-from tessera.llm.common import buckets, checkpoint
+from tessera.llm.common import buckets, checkpoint, pieces
 
 #: Edits allowed at most, and one for so many characters; part of a document's characters that may go.
 EDITS, PER, MOST = 2, 10, 0.3
@@ -88,7 +88,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, copy (hash of the text), line (number) and h (hash) of every line that isn't blank."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             owner, number, hashes = [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 for n, h, _ in hashed_lines(text):
@@ -110,7 +110,7 @@ def listed(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def run(batches):
         cuts: dict[int, tuple] = {}
-        for b in batches:
+        for b in pieces(batches, 0):
             seen: set[int] = set()
             keys, who, is_probe = [], [], []
             for text in b.column(0).to_pylist():
@@ -276,10 +276,10 @@ def verified(meetings: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
-    """h and line (bytes) of every line that isn't blank, once a batch."""
+    """h and line (bytes) of every line that isn't blank, once a slice."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 0):
             found = {h: line for text in b.column(0).to_pylist() for _, h, line in hashed_lines(text)}
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.fromiter(found, np.uint64, len(found)))), pa.array(list(found.values()), pa.binary())], names=["h", "line"])
 

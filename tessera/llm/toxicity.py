@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import pieces
+
 #: Rows of the labels that the lexicon is fitted on at most.
 FIT_ROWS = 20_000
 #: Score from which a document is toxic.
@@ -160,7 +162,7 @@ def contexts(sample: DataFrame, words) -> DataFrame:
     wanted = frozenset(words)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             found = set()
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 said = ["", *WORD.findall(text.lower()), ""]
@@ -206,7 +208,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = THRESH
     """doc_id, score, clauses (that score) and toxic for every row of docs."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             texts = b.column(1).to_pylist()
             found = [grammar.score(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -222,7 +224,7 @@ def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, at):
             yield b.filter(pa.array([grammar.score(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import pieces
+
 #: Where the public vocabulary lies.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"\w+|[^\w\s]")
@@ -140,7 +142,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         counts = Counts(automaton(path))
-        for b in batches:
+        for b in pieces(batches, 1):
             words, tokens = [], []
             for t in b.column(1).to_pylist():
                 found = WORD.findall(t.lower()) if t else []

@@ -13,7 +13,7 @@ from .test_lines import brute as brute_lines
 
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 1500").limit(70)
-    extra = [(9_000, "You are an idiot, you moron.", "en", "src0", 28), (9_001, "\n".join(["A line that many documents share, again."] + [f"Own line number {k} with several other words" for k in range(8)]), "en", "src0", 0), (9_002, "\n".join([f"Other text in place {k} of this one here" for k in range(8)] + ["A line that many documents share, again"]), "en", "src0", 0), (None, "no id at all", None, None, None), (9_003, None, "en", None, 0), (9_004, "", "en", "src0", 0)]
+    extra = [(9_000, "You are an idiot, you moron.", "en", "src0", 28), (9_001, "\n".join(["A line that many documents share, again."] + [f"Own line {k * 7919} with {k * 104729} several {k * 1299709} words" for k in range(1, 9)]), "en", "src0", 0), (9_002, "\n".join([f"Text {k * 15485863} in {k * 32452843} this {k * 49979687} one" for k in range(1, 9)] + ["A line that many documents share, again"]), "en", "src0", 0), (None, "no id at all", None, None, None), (9_003, None, "en", None, 0), (9_004, "", "en", "src0", 0)]
     docs = docs.union(spark.createDataFrame(extra, docs.schema))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
