@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -45,6 +46,15 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Give memory that Python no longer uses back to the system, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches, column: int):
     """The batches in slices of at most PIECE_ROWS rows and about PIECE_BYTES of text in a column, so that memory stays bounded."""
     for b in batches:
@@ -55,6 +65,7 @@ def pieces(batches, column: int):
             to = max(at + 1, min(at + PIECE_ROWS, int(np.searchsorted(ends, before + PIECE_BYTES, side="right"))))
             yield b.slice(at, to - at)
             at = to
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
