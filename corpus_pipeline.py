@@ -1,4 +1,4 @@
-"""Corpus pipeline: toxicity, line dedup, near duplicates, packing, each on what the stage before has kept."""
+"""Corpus pipeline: toxicity, line dedup, near duplicates, the repeated lines left, packing, each on what the stage before has kept."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; mostly repeated documents stay whole, for the next stage."""
+    """Documents without lines that repeat an earlier one; mostly repeated documents stay whole until copies are gone."""
     return lines.drop_repeats(docs)
 
 
@@ -26,12 +26,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return jaccard.keep_first(docs)
 
 
+def drop_lines_left(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any line that repeats an earlier one, however much of a document goes: no copy needs its text any more."""
+    return lines.drop_repeats(docs, most=1.0)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
     return packing.packed(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("lines_left", drop_lines_left), ("packing", pack)]
 
 #: Fitting, the transducer and greedy packing can't be said in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

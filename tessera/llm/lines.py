@@ -6,8 +6,9 @@ one of them unchanged, at a place that the lengths narrow down; so each line lis
 length that a partner may have, the few substrings that can match. What shares a segment is verified by banded bit-parallel
 edit distance, many pairs at once in numpy, on whole lines. Lengths and edits are counted in bytes of UTF-8.
 
-``drop_repeats`` takes repeated lines out of documents. A document that would lose more than ``MOST`` of its characters is a
-copy as a whole, to be judged as a document; it stays as it is.
+``drop_repeats`` takes repeated lines out of documents. A document that would lose more than ``MOST`` of its characters may
+be a copy as a whole, to be judged as a document; it stays as it is. Once copies are gone ``most`` = 1 takes every repeated
+line, whatever is left.
 
 Scale: segments travel as 64-bit hashes in record blobs; text is shuffled for lines that share a segment, once per shared
 segment, and documents once, when lines are taken out.
@@ -317,13 +318,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """docs without repeated lines, all columns; n_chars, where there is one, follows the text."""
+def drop_repeats(docs: DataFrame, most: float = MOST) -> DataFrame:
+    """docs without repeated lines, all columns; n_chars, where there is one, follows the text. Who would lose more than most stays whole."""
     gone = checkpoint(repeats(docs).groupBy(F.col("doc_id").alias("__of"), F.col("copy").alias("__copy")).agg(F.collect_set("line").alias("__lines")))
     text = docs["text"]
     joined = docs.join(small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(text.cast("string")) == F.col("__copy")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    kept = F.when(F.col("__lines").isNotNull() & (F.length(kept) >= (1 - MOST) * F.length(text)), kept).otherwise(text)
+    kept = F.when(F.col("__lines").isNotNull() & (F.length(kept) >= (1 - most) * F.length(text)), kept).otherwise(text)
     out = joined.withColumn("__kept", kept)
     return out.select(*(F.col("__kept").alias("text") if c == "text" else F.length("__kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
 
