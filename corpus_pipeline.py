@@ -33,7 +33,7 @@ def drop_lines_left(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return packing.packed(docs)
+    return packing.packed_tokens(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("lines_left", drop_lines_left), ("packing", pack)]

@@ -4,6 +4,9 @@ A document of n tokens costs ``LINEAR * n + QUADRATIC * n * n`` (attention withi
 the sequence of lowest cost that has room for all their tokens; if none has, a new sequence begins. A document longer than a
 sequence is cut into full pieces and a rest, so no token is lost.
 
+``packed_tokens``, which the queries use, counts the tokens of each whole text with the package's BPE encoder. ``packed`` takes
+any column of lengths, and without one estimates them by bytes, well under what encoders give.
+
 Scale: documents are hashed into groups of about ``GROUP`` rows and each group is packed alone, in one task; the number of
 groups follows the number of rows, so a task's work stays bounded. Only ids and sizes are shuffled, never texts.
 
@@ -16,11 +19,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a sequence; bytes that count as a token; rows packed together.
-CAPACITY, TOKEN_BYTES, GROUP = 4096, 4, 16_384
+from tessera.llm import bpe
+from tessera.llm.common import pieces as slices
+
+#: Tokens of a sequence; bytes that count as a token where none are counted; rows packed together; rows encoded together.
+CAPACITY, TOKEN_BYTES, GROUP, ENCODED = 4096, 4, 16_384, 256
 #: Cost per token and per squared token (attention flops over linear flops for a model width of 4096, a token costs 12 * width).
 LINEAR, QUADRATIC = 1.0, 1.0 / (6 * 4096)
 
@@ -48,14 +55,41 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR, qu
     return seq, start, cost
 
 
+def counted(docs: DataFrame, path: str = bpe.RANKS) -> DataFrame:
+    """doc_id, h (hash of the text) and n (tokens of the whole text by the BPE encoder) of every row."""
+
+    def run(batches):
+        c = bpe.codec(path)
+        for whole in slices(batches, 1):
+            for at in range(0, whole.num_rows, ENCODED):
+                b = whole.slice(at, ENCODED)
+                n = [len(p or b"") // 4 for p in c.encode(b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "h", "n"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, n long")
+
+
+def packed_tokens(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """packed() with the tokens that the BPE encoder gives for each whole text."""
+    return _packed(counted(docs), _groups(docs), capacity)
+
+
 def packed(docs: DataFrame, capacity: int = CAPACITY, tokens=None) -> DataFrame:
     """One row per piece: doc_id, piece, n_tokens, sequence, token_start (place in the sequence) and cost.
 
     tokens: a column with each row's tokens; by default a quarter of the text's bytes, rounded up.
     """
     tokens = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / TOKEN_BYTES).cast("long") if tokens is None else tokens
-    groups = max(1, -(-docs.select(F.lit(1)).count() // GROUP))
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), tokens.alias("n")).select(
+    return _packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), tokens.alias("n")), _groups(docs), capacity)
+
+
+def _groups(docs: DataFrame) -> int:
+    return max(1, -(-docs.select(F.lit(1)).count() // GROUP))
+
+
+def _packed(sized: DataFrame, groups: int, capacity: int) -> DataFrame:
+    pieces = sized.select(
         "doc_id", "h", F.pmod(F.xxhash64("doc_id", "h"), F.lit(groups)).cast("int").alias("g"), F.posexplode(F.expr(f"transform(sequence(0L, greatest(0L, (n - 1) div {capacity})), i -> cast(least({capacity}, n - i * {capacity}) as int))")).alias("piece", "n_tokens")
     )
 

@@ -33,7 +33,7 @@ def op3_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed_tokens(table(spark, sf_dir, "documents"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
