@@ -2,9 +2,11 @@
 
 Each clause of a text becomes a string of word classes (insult, threat, target, negation, report, degree, other). Small
 transducers for insults, threats, targets, negation and reported speech are composed into one deterministic transducer,
-which runs over the clause and sums the weights of the matches: a clause scores for an insult or a threat to a target, an
-insult aimed at a target scores more, and one under a negation ("not an idiot") or in reported speech ("she said that he is
-an idiot") scores a fraction. A text's score is the sum over its clauses; it is toxic from ``threshold`` on.
+which runs over the clause and sums the weights of the matches: a clause scores for a threat to a target or an insult; a
+built-in insult alone stays below the threshold, one aimed at a target reaches it, and one under a negation ("not an idiot") or in reported speech ("she said that he is
+an idiot") scores a fraction. A text's score is the sum over its clauses; it is toxic from ``threshold`` on. Threats are
+matched in the word order of their language: the target after the verb (English), between intent and infinitive (German,
+French), and in Spanish after the verb, before the intent or as the infinitive's ending.
 
 The insult words are a short built-in English list and the words learned from labelled documents: at most ``fit_rows``
 labelled rows (a bounded sample, chosen by a hash of the id) give the counts by label; a word joins the lexicon if a binomial
@@ -38,6 +40,10 @@ MIN_ODDS, SURE_ODDS = 8.0, 100.0
 
 INSULTS = "idiot idiots moron morons loser losers scum clown clowns trash stupid pathetic worthless disgusting imbecile imbeciles dumbass dimwit halfwit cretin vermin subhuman jerk bastard bastards filth".split()
 THREATS = "kill murder destroy hurt beat strangle stab shoot smash crush".split()
+#: German and French infinitives, which stand after their target; Spanish ones, and those that end in it.
+THREATS_LAST = "töten umbringen ermorden verprügeln verletzen erstechen erschießen erwürgen vernichten zerstören tuer assassiner détruire frapper étrangler poignarder égorger buter écraser massacrer".split()
+THREATS_ES = "matar asesinar destruir golpear estrangular apuñalar aplastar".split()
+THREATS_OBJECT = [v + who for v in THREATS_ES for who in ("te", "os")]
 #: The words that make a threat of a verb: a future or a will stands before it.
 INTENTS = "will shall gonna going ll must should werde wirst voy vais vas".split()
 TARGETS = "you your yours yourself u he she they them him his her their we these those du dich dir ihr euch sie er tu te toi vous il elle ils elles usted ustedes ellos ellas".split()
@@ -48,15 +54,15 @@ DEGREES = "a an the so such very really total complete utter ein eine un une una
 WORD = re.compile(r"\w+")
 CLAUSE = re.compile(r"[.!?;:,\n]+")
 
-OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, DEGREE = range(8)
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, DEGREE, THREAT_LAST, THREAT_ES, THREAT_OBJECT = KINDS = range(11)
 #: Weight of a match, and what is left of it under a negation, in reported speech, or with a target in its clause.
-W_INSULT, W_THREAT, W_TARGET, KEEP_NEGATED, KEEP_REPORTED = 1.0, 2.0, 0.5, 0.1, 0.4
+W_INSULT, W_THREAT, W_TARGET, KEEP_NEGATED, KEEP_REPORTED = 0.6, 2.0, 0.5, 0.1, 0.4
 
 
 def classes(insults) -> dict[str, int]:
-    """Class of each word; where lists overlap the first of insult, threat, intent, negation, report, target, degree counts."""
+    """Class of each word; where lists overlap the first of insult, threats, intent, negation, report, target, degree counts."""
     out: dict[str, int] = {}
-    for kind, words in ((INSULT, insults), (THREAT, THREATS), (INTENT, INTENTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (DEGREE, DEGREES)):
+    for kind, words in ((INSULT, insults), (THREAT, THREATS), (THREAT_LAST, THREATS_LAST), (THREAT_ES, THREATS_ES), (THREAT_OBJECT, THREATS_OBJECT), (INTENT, INTENTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (DEGREE, DEGREES)):
         for w in words:
             out.setdefault(w, kind)
     return out
@@ -74,8 +80,24 @@ _NEG = _component({0: "plain", 1: "negated"}, 0, lambda s, c: (1 if c == NEGATIO
 _REP = _component({0: "direct", 1: "reported"}, 0, lambda s, c: (1 if s or c == REPORT else 0, s))
 #: target: a person was named before in the clause.
 _TGT = _component({0: "none", 1: "named"}, 0, lambda s, c: (1 if s or c == TARGET else 0, s))
-#: threat: 1 after an intent, 2 after intent and verb; a target next completes the match.
-_THR = _component({0: "none", 1: "intent", 2: "verb"}, 0, lambda s, c: (1 if c == INTENT or (s == 1 and c in (DEGREE, TARGET)) else 2 if s == 1 and c == THREAT else 2 if s == 2 and c == DEGREE else 0, 1 if s == 2 and c == TARGET else 0))
+#: threat: 1 after an intent, 2 after intent and verb; a target next completes the match. 3 after an intent and then a target,
+#: 4 after a target, 5 after a target and then an intent: there an infinitive of the languages that want it completes it.
+def _threat(s: int, c: int) -> tuple[int, int]:
+    if c == INTENT:
+        return 5 if s == 4 else 1, 0
+    if s in (1, 3, 5):
+        if c in (DEGREE, TARGET):
+            return 3 if c == TARGET else s, 0
+        if c == THREAT or c == THREAT_ES and s == 1:
+            return 2, 0
+        if c == THREAT_OBJECT or c == THREAT_LAST and s == 3 or c == THREAT_ES:
+            return 0, 1
+    if s == 2 and c == DEGREE:
+        return 2, 0
+    return 4 if c == TARGET else 0, 1 if s == 2 and c == TARGET else 0
+
+
+_THR = _component({0: "none", 1: "intent", 2: "verb", 3: "intent, target", 4: "target", 5: "target, intent"}, 0, _threat)
 #: insult: emits at an insult word.
 _INS = _component({0: "any"}, 0, lambda s, c: (0, 1 if c == INSULT else 0))
 
@@ -88,7 +110,7 @@ def compose() -> list[list[tuple[int, float, float]]]:
     while queue:
         state = queue.pop(0)
         row = []
-        for c in range(8):
+        for c in KINDS:
             moved = [p[2](s, c) for p, s in zip(parts, state)]
             (_, negated), (_, reported), (_, named), (_, threat), (_, insult) = moved
             scale = (KEEP_NEGATED if negated else 1.0) * (KEEP_REPORTED if reported else 1.0)
@@ -111,7 +133,7 @@ class Grammar:
 
     def __post_init__(self):
         self.kind = classes(self.weights)
-        self.needed = frozenset(self.weights) | frozenset(THREATS)
+        self.needed = frozenset(self.weights).union(THREATS, THREATS_LAST, THREATS_ES, THREATS_OBJECT)
 
     def clause(self, text: str) -> float:
         state, score = 0, 0.0
@@ -191,7 +213,7 @@ def learned(k: int, m: int, toxic: int, clean: int) -> float:
 
 
 def fit(labels: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
-    """The grammar with the built-in insults at weight 1 and the learned ones at a weight that follows their log odds."""
+    """The grammar with the built-in insults at weight ``W_INSULT`` and the learned ones at a weight that follows their log odds."""
     weights = {w: W_INSULT for w in INSULTS}
     sample = labelled(labels, docs, fit_rows)
     # words of the sample that lean to toxic, so bounded by fit_rows
