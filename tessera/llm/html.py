@@ -11,9 +11,8 @@ next item, a cell at the next cell, and so on) and ignores stray ones. The tree
 - white space collapses but in ``pre`` and ``textarea``; ``br`` breaks lines; images give their alternative text.
 
 Edge cases: null html gives null text; empty html, or one with nothing visible, gives ''; unclosed and crossing tags follow
-the implied rules; a table or list inside a cell is rendered on one line; depth and length are unlimited (no recursion over
-``DEPTH``: deeper elements are read as children of the element at that depth); repeated rows render alike; extra columns are
-ignored.
+the implied rules; a table or list inside a cell is rendered on one line; depth and length are unlimited (rendering keeps its
+own stack and doesn't recurse); repeated rows render alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import pieces
 
-#: Nesting beyond which elements aren't nested any deeper.
-DEPTH = 200
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -76,14 +73,19 @@ def build(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # of the open elements by tag, so that deep nesting needs no search
+
+    def innermost(tags) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
+    def pop() -> None:
+        places[stack.pop().tag].pop()
 
     def close(names, barrier) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in barrier:
-                return
+        k = innermost(names)
+        if k and (k >= innermost(barrier)):
+            while len(stack) > k:
+                pop()
 
     at, end = 0, len(html)
     while at < end:
@@ -106,7 +108,7 @@ def build(html: str) -> Node:
             elif tag in HEADINGS:
                 close(HEADINGS, SCOPE)
             elif tag == "p":
-                if not any(n.tag == "p" for n in stack):
+                if not places.get("p"):
                     stack[-1].children.append(Node("p", {}))
                 close(("p",), SCOPE)
             elif tag not in ("html", "body"):
@@ -118,11 +120,11 @@ def build(html: str) -> Node:
                 close(("head",), ())
             continue
         if stack[-1].tag == "head" and tag not in HIDDEN:
-            stack.pop()
+            pop()
         if tag in ENDS_P:
             close(("p",), SCOPE | {"button", "li", "dd", "dt"} if tag not in ("li", "dd", "dt") else SCOPE)
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                pop()
         if rule := IMPLIED.get(tag):
             if tag in SECTIONS or tag == "tr":
                 close(CELLS, ("table",))
@@ -140,7 +142,8 @@ def build(html: str) -> Node:
                 at = end
             if tag in ("textarea", "title"):
                 node.children = [unescape(c) for c in node.children]
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -193,10 +196,23 @@ class Lines:
         self.due = max(self.due, empty)
 
 
-def _flat(node: Node, seen: bool) -> str:
-    """A cell's text on one line."""
+def _run(step):
+    """The result of a rendering step. A step is a generator that yields the steps it needs done, and gets their results."""
+    stack, result = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as done:
+            stack.pop()
+            result = done.value
+    return result
+
+
+def _flat(node: Node, seen: bool):
+    """A cell's text on one line (a step)."""
     out = Lines()
-    _render(node, out, seen, False, 0, inner=True)
+    yield _render(node, out, seen, False, 0, inner=True)
     out.flush()
     return SPACE.sub(" ", " ".join(x.strip() for x in out.lines if x)).strip()
 
@@ -205,10 +221,10 @@ def _span(value: str | None) -> int:
     return min(1000, int(value)) if value and value.isdigit() and int(value) > 0 else 1
 
 
-def _table(node: Node, out: Lines, seen: bool) -> None:
+def _table(node: Node, out: Lines, seen: bool):
     rows: list[list[tuple[str, int]]] = []
 
-    def walk(n: Node, seen: bool) -> None:
+    def walk(n: Node, seen: bool):
         row = None
         for c in n.children:
             if isinstance(c, str):
@@ -221,26 +237,29 @@ def _table(node: Node, out: Lines, seen: bool) -> None:
             if c.tag in CELLS:
                 if row is None:
                     rows.append(row := [])
-                row.append((_flat(c, sight), _span(c.attributes.get("colspan"))))
+                row.append(((yield _flat(c, sight)), _span(c.attributes.get("colspan"))))
             elif c.tag == "tr":
-                rows.append([(_flat(d, visible(d, sight)), _span(d.attributes.get("colspan"))) for d in c.children if isinstance(d, Node) and d.tag in CELLS and not gone(d)])
+                rows.append(cells := [])
+                for d in c.children:
+                    if isinstance(d, Node) and d.tag in CELLS and not gone(d):
+                        cells.append(((yield _flat(d, visible(d, sight))), _span(d.attributes.get("colspan"))))
                 loose = [d for d in c.children if not (isinstance(d, Node) and d.tag in CELLS)]
                 if any(not isinstance(d, str) or d.strip() for d in loose):
                     rest = Node("span", {})
                     rest.children = loose
-                    if said := _flat(rest, sight):
-                        rows[-1].append((said, 1))
+                    if said := (yield _flat(rest, sight)):
+                        cells.append((said, 1))
             elif c.tag in SECTIONS:
-                walk(c, sight)
+                yield walk(c, sight)
             elif c.tag == "caption":
                 out.block(0)
-                _children(c, out, sight, False, 0, False)
+                yield _children(c, out, sight, False, 0, False)
                 out.block(0)
             elif c.tag != "colgroup":
-                _render(c, out, sight, False, 0)
+                yield _render(c, out, sight, False, 0)
                 out.block(0)
 
-    walk(node, seen)
+    yield walk(node, seen)
     out.block(0)
     width: dict[int, int] = {}
     for r in rows:
@@ -278,10 +297,10 @@ def visible(node: Node, before: bool) -> bool:
     return True if "visibility:visible" in s else before
 
 
-def _children(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner: bool) -> None:
+def _children(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner: bool):
     for c in node.children:
         if isinstance(c, Node):
-            _render(c, out, seen, pre, depth, inner)
+            yield _render(c, out, seen, pre, depth, inner)
         elif seen:
             if not pre:
                 out.text(c)
@@ -295,7 +314,7 @@ def _children(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner:
                     out.raw(line)
 
 
-def _render(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner: bool = False) -> None:
+def _render(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner: bool = False):
     if gone(node):
         return
     tag, a = node.tag, node.attributes
@@ -333,7 +352,7 @@ def _render(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner: bo
                     out.text(c)
                 continue
             if c.tag != "li":
-                _render(c, out, seen, pre, depth + 1, inner)
+                yield _render(c, out, seen, pre, depth + 1, inner)
                 continue
             if gone(c):
                 continue
@@ -345,7 +364,7 @@ def _render(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner: bo
                 mark = "- "
             out.block(0)
             out.prefix, out.mark = indent + " " * len(mark), mark
-            _children(c, out, visible(c, seen), pre, depth + 1, inner)
+            yield _children(c, out, visible(c, seen), pre, depth + 1, inner)
             out.block(0)
             out.prefix, out.mark = indent, ""
         out.block(1 if depth == 0 else 0)
@@ -353,27 +372,27 @@ def _render(node: Node, out: Lines, seen: bool, pre: bool, depth: int, inner: bo
     if tag in BLOCKS:
         out.block(empty if depth == 0 or tag not in ("p",) else 0)
         if tag == "table":
-            _table(node, out, seen)
+            yield _table(node, out, seen)
         elif tag == "details" and "open" not in a:
             for c in node.children:
                 if isinstance(c, Node) and c.tag == "summary":
-                    _render(c, out, seen, pre, depth, inner)
+                    yield _render(c, out, seen, pre, depth, inner)
                     break
         elif tag in ("blockquote", "dd"):
             before, out.prefix = out.prefix, out.prefix + "    "
-            _children(node, out, seen, pre, depth, inner)
+            yield _children(node, out, seen, pre, depth, inner)
             out.flush()
             out.prefix = before
         else:
-            _children(node, out, seen, pre or tag == "pre", depth, inner)
+            yield _children(node, out, seen, pre or tag == "pre", depth, inner)
         out.block(empty if depth == 0 or tag not in ("p",) else 0)
         return
     if tag in CELLS:
-        _children(node, out, seen, pre, depth, inner)
+        yield _children(node, out, seen, pre, depth, inner)
         if not inner:
             out.text(" ")
         return
-    _children(node, out, seen, pre or tag in ("textarea", "xmp"), depth, inner)
+    yield _children(node, out, seen, pre or tag in ("textarea", "xmp"), depth, inner)
 
 
 def extract(html: str | None) -> str | None:
@@ -381,7 +400,7 @@ def extract(html: str | None) -> str | None:
     if html is None:
         return None
     out = Lines()
-    _render(build(html), out, True, False, 0)
+    _run(_render(build(html), out, True, False, 0))
     out.flush()
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out.lines)).strip("\n")
 
