@@ -1,4 +1,4 @@
-"""Corpus pipeline: toxicity, line dedup, near duplicates, the repeated lines left, packing, each on what the stage before has kept."""
+"""Corpus pipeline: toxicity, line dedup, near duplicates, packing, each on what the stage before has kept."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, lines, packing, toxicity
-from tessera.llm.common import shared_folder
+from tessera.llm.common import delete, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; mostly repeated documents stay whole until copies are gone."""
+    """Documents without lines that repeat an earlier one; copies of a whole document keep what they have from it for the next stage to see."""
     return lines.drop_repeats(docs)
 
 
@@ -26,27 +26,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return jaccard.keep_first(docs)
 
 
-def drop_lines_left(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any line that repeats an earlier one, however much of a document goes: no copy needs its text any more."""
-    return lines.drop_repeats(docs, most=1.0)
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
     return packing.packed_tokens(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("lines_left", drop_lines_left), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
 
 #: Fitting, the transducer and greedy packing can't be said in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of sf_dir, each one's rows written as Parquet in the shared folder and read again."""
+    """All stages in order over the documents of sf_dir, each one's rows written as Parquet in the shared folder and read again.
+
+    A table is deleted once the stage after it is written; the last one stays, since the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

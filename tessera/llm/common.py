@@ -15,6 +15,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes of input whose records share a bucket.
+BUCKET_BYTES = 64 << 20
 #: Rows and bytes of text that Python works on at once.
 PIECE_ROWS, PIECE_BYTES = 2048, 8 << 20
 #: ASCII letters and digits and every byte of a multi-byte character belong to words.
@@ -41,9 +43,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def buckets(spark: SparkSession) -> int:
-    """Number of hash buckets for record blobs: the session's shuffle partitions, which follow the input size."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to clash with none of the taken ones."""
+    used, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def input_bytes(docs: DataFrame) -> int | None:
+    """Bytes that Spark expects docs to have, from the sizes of its files; None where it can't know."""
+    n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else None
+
+
+def buckets(docs: DataFrame) -> int:
+    """Number of hash buckets for record blobs: one for each BUCKET_BYTES of input, and at least twice the shuffle partitions, which evens out what shares a partition."""
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (input_bytes(docs) or 0) // BUCKET_BYTES, 1)
 
 
 def release() -> None:

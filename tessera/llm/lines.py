@@ -6,17 +6,23 @@ one of them unchanged, at a place that the lengths narrow down; so each line lis
 length that a partner may have, the few substrings that can match. What shares a segment is verified by banded bit-parallel
 edit distance, many pairs at once in numpy, on whole lines. Lengths and edits are counted in bytes of UTF-8.
 
-``drop_repeats`` takes repeated lines out of documents. A document that would lose more than ``MOST`` of its characters may
-be a copy as a whole, to be judged as a document; it stays as it is. Once copies are gone ``most`` = 1 takes every repeated
-line, whatever is left.
+The threshold is a parameter: one edit for each ``per`` bytes, ``edits`` at most (31 is the most that the words of the
+verification hold).
+
+``drop_repeats`` takes repeated lines out of documents, whatever is left of them. Only where a document copies another as a
+whole, to be judged as a document by whoever looks for near duplicates, are the lines that it has from that one left in it.
+Of the documents that its lines repeat it is held against the one that shares most: it counts as its copy if the lines in
+common, once each, are at least ``least`` of the bytes of both documents' different lines together, and the Jaccard similarity
+of the two whole texts' word n-grams is at least ``theta``. Such a copy loses what the document it copies loses, and every
+line that it has twice.
 
 Scale: segments travel as 64-bit hashes in record blobs; text is shuffled for lines that share a segment, once per shared
-segment, and documents once, when lines are taken out.
+segment, and documents once, when lines are taken out, unless the list of lines is small (``BROADCAST_BYTES``).
 
 Edge cases: lines end at a line feed; spaces, tabs and carriage returns around a line don't count; blank lines stay and
 repeat nothing; a null or empty text has no lines; lines of any length are compared whole; rows that repeat a doc_id and
 text are one document; null ids come first; an empty table gives an empty result; columns beside doc_id and text are kept
-untouched.
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,30 +30,31 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm import blobs
-from tessera.llm.common import buckets, checkpoint, pieces
+from tessera.llm.common import buckets, checkpoint, fresh, ngram_sets, pieces
+from tessera.llm.jaccard import NGRAM, THETA
 
-#: Edits allowed at most, and one for so many characters; part of a document's characters that may go.
-EDITS, PER, MOST = 2, 10, 0.3
-#: Characters compared at once.
-CELLS = 1 << 21
+#: Edits allowed at most, and one for so many bytes; part of the lines' bytes in common from which a document may be a copy.
+EDITS, PER, LEAST = 2, 10, 0.1
+#: Characters compared at once, and pairs.
+CELLS, PAIRS = 1 << 21, 50_000
 AROUND = b" \t\r"
-#: Rows up to which a side of a join is broadcast.
-BROADCAST_ROWS = 250_000
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 4 << 20
 
 
-def threshold(length: int) -> int:
+def threshold(length: int, edits: int = EDITS, per: int = PER) -> int:
     """Edits allowed for a pair whose shorter line has this length."""
-    return min(EDITS, length // PER)
+    return min(edits, length // per)
 
 
-def segments(length: int) -> list[tuple[int, int]]:
+def segments(length: int, edits: int = EDITS, per: int = PER) -> list[tuple[int, int]]:
     """(place, length) of the segments of a line, as even as can be, the longer ones last."""
-    parts = threshold(length) + 1
+    parts = threshold(length, edits, per) + 1
     short, longer = divmod(length, parts)
     out, at = [], 0
     for k in range(parts):
@@ -57,14 +64,14 @@ def segments(length: int) -> list[tuple[int, int]]:
     return out
 
 
-def windows(length: int) -> list[tuple[int, int, int, int, int]]:
+def windows(length: int, edits: int = EDITS, per: int = PER) -> list[tuple[int, int, int, int, int]]:
     """(partner's length, segment, first place, last place, size) that a line of this length probes."""
     out = []
-    for own in range(max(1, length - EDITS), length + 1):
-        t, delta = threshold(own), length - own
+    for own in range(max(1, length - edits), length + 1):
+        t, delta = threshold(own, edits, per), length - own
         if delta > t:
             continue
-        for k, (at, size) in enumerate(segments(own)):
+        for k, (at, size) in enumerate(segments(own, edits, per)):
             first = max(at - k, at + delta - (t - k), 0)
             last = min(at + k, at + delta + (t - k), length - size)
             if first <= last:
@@ -86,27 +93,30 @@ def hashed_lines(text: str | None):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (hash of the text), line (number) and h (hash) of every line that isn't blank."""
+    """doc_id, copy (hash of the text), line (number), h (hash), n (bytes) and total (bytes of the text's different lines) of every line that isn't blank."""
 
     def run(batches):
         for b in pieces(batches, 1):
-            owner, number, hashes = [], [], []
+            owner, number, hashes, size, total = [], [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
-                for n, h, _ in hashed_lines(text):
-                    owner.append(k)
-                    number.append(n)
-                    hashes.append(h)
+                found = [(n, h, len(line)) for n, h, line in hashed_lines(text)]
+                whole = sum({h: n for _, h, n in found}.values())
+                owner += [k] * len(found)
+                number += [n for n, _, _ in found]
+                hashes += [h for _, h, _ in found]
+                size += [n for _, _, n in found]
+                total += [whole] * len(found)
             at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(number, pa.int32()), pa.array(_signed(np.array(hashes, np.uint64)))], names=["doc_id", "copy", "line", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(number, pa.int32()), pa.array(_signed(np.array(hashes, np.uint64))), pa.array(size, pa.int32()), pa.array(total, pa.int64())], names=["doc_id", "copy", "line", "h", "n", "total"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, copy long, line int, h long")
+    return _rows(docs).mapInArrow(run, "doc_id long, copy long, line int, h long, n int, total long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("copy"))
 
 
-def listed(docs: DataFrame, n_buckets: int) -> DataFrame:
+def listed(docs: DataFrame, n_buckets: int, edits: int = EDITS, per: int = PER) -> DataFrame:
     """Segments that lines list and substrings that they probe, as blobs: bucket, own_keys, own, probe_keys, probe."""
 
     def run(batches):
@@ -123,8 +133,8 @@ def listed(docs: DataFrame, n_buckets: int) -> DataFrame:
                     if n not in cuts:
                         if len(cuts) > 5000:
                             cuts.clear()
-                        own = [(at, at + size, n * 8 + k) for k, (at, size) in enumerate(segments(n))] if threshold(n) else []
-                        probe = [(p, p + size, partner * 8 + k) for partner, k, first, last, size in windows(n) if threshold(partner) for p in range(first, last + 1)]
+                        own = [(at, at + size, n * 32 + k) for k, (at, size) in enumerate(segments(n, edits, per))] if threshold(n, edits, per) else []
+                        probe = [(p, p + size, partner * 32 + k) for partner, k, first, last, size in windows(n, edits, per) if threshold(partner, edits, per) for p in range(first, last + 1)]
                         cuts[n] = own + probe, len(own)
                     parts, owned = cuts[n]
                     keys += [xxh64_intdigest(line[s:e], seed) for s, e, seed in parts]
@@ -176,6 +186,7 @@ def within(first: list[bytes], second: list[bytes], limit: np.ndarray) -> np.nda
     of the diagonal matter (Hyyrö's banded form of Myers's algorithm); all pairs take a step at once.
     """
     out = np.empty(len(first), np.int64)
+    first, second = map(list, zip(*map(_differing, first, second))) if first else ([], [])
     sizes = np.array([max(len(a), len(b)) for a, b in zip(first, second)], np.int64)
     order = np.argsort(sizes, kind="stable")
     at = 0
@@ -189,6 +200,19 @@ def within(first: list[bytes], second: list[bytes], limit: np.ndarray) -> np.nda
     return out
 
 
+def _differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """Two lines without what they begin and end with in common, which takes no edits; short ones as they are."""
+    n = min(len(a), len(b))
+    if n < 256:
+        return a, b
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    same = x[:n] == y[:n]
+    head = n if same.all() else int(same.argmin())
+    same = x[len(a) - n + head :][::-1] == y[len(b) - n + head :][::-1]
+    tail = len(same) if same.all() else int(same.argmin())
+    return a[head : len(a) - tail], b[head : len(b) - tail]
+
+
 def _bytes(texts: list[bytes], width: int, fill: int, before: int) -> np.ndarray:
     """Bytes as numbers, one column per text, with filling before and after."""
     lengths = np.array([len(t) for t in texts])
@@ -234,44 +258,51 @@ def _banded(a: list[bytes], b: list[bytes], limit: np.ndarray) -> np.ndarray:
     return np.where((result <= limit) & (np.abs(n - m) <= limit), result, limit + 1)
 
 
-def verified(meetings: DataFrame) -> DataFrame:
-    """Pairs of different lines within the threshold: x, y (hashes, x < y) and edits. meetings: bucket, key, h, role, line."""
+def verified(meetings: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """Pairs of different lines within the threshold: x, y (hashes, x < y) and edits. meetings: bucket, key, h, role, line.
+
+    A pair that meets at several segments may come more than once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
         keys, hs, roles = keys[order], table.column("h").to_numpy()[order], table.column("role").to_numpy()[order]
-        texts = table.column("line").combine_chunks().take(pa.array(order)).to_pylist()
+        lines = table.column("line").combine_chunks().take(pa.array(order))
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         ends = np.append(starts[1:], len(keys))
-        where = {h: k for k, h in enumerate(hs.tolist())}
-        seen: set[tuple[int, int]] = set()
-        todo: list[tuple[int, int]] = []
-        found: list[tuple[int, int, int]] = []
+        names, where = np.unique(hs, return_index=True)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        todo: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
-            first, second = [texts[where[x]] for x, _ in todo], [texts[where[y]] for _, y in todo]
-            limit = np.array([threshold(min(len(p), len(q))) for p, q in zip(first, second)], np.int64)
-            edits = within(first, second, limit)
-            found.extend((x, y, e) for (x, y), e, t in zip(todo, edits.tolist(), limit.tolist()) if e <= t)
+            x, y = (np.concatenate(c) for c in zip(*todo))
             todo.clear()
-
+            one = np.unique(np.searchsorted(names, x) * len(names) + np.searchsorted(names, y))
+            x, y = where[one // len(names)], where[one % len(names)]
+            first, second = lines.take(pa.array(x)).to_pylist(), lines.take(pa.array(y)).to_pylist()
+            limit = np.array([threshold(min(len(p), len(q)), edits, per) for p, q in zip(first, second)], np.int64)
+            n = within(first, second, limit)
+            keep = n <= limit
+            found.append((hs[x][keep], hs[y][keep], n[keep]))
+
+        waiting = 0
         for s, e in zip(starts.tolist(), ends.tolist()):
-            group = hs[s:e].tolist()
-            own = [h for h, r in zip(group, roles[s:e].tolist()) if r & 1]
-            probe = [h for h, r in zip(group, roles[s:e].tolist()) if r & 2]
-            for x in own:
-                for y in probe:
-                    pair = (x, y) if x < y else (y, x)
-                    if x != y and pair not in seen:
-                        seen.add(pair)
-                        todo.append(pair)
-                if len(todo) >= 50_000:
+            group = hs[s:e]
+            own, probe = group[roles[s:e] & 1 > 0], group[roles[s:e] & 2 > 0]
+            step = max(1, PAIRS // max(1, len(probe)))
+            for at in range(0, len(own), step):  # a segment of many lines in slices
+                x, y = np.repeat(own[at : at + step], len(probe)), np.tile(probe, len(own[at : at + step]))
+                other = x != y
+                todo.append((np.minimum(x, y)[other], np.maximum(x, y)[other]))
+                waiting += len(x)
+                if waiting >= PAIRS:
                     flush()
+                    waiting = 0
         if todo:
             flush()
-        x, y, edits = zip(*found) if found else ((), (), ())
-        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "edits": pa.array(edits, pa.int32())})
+        x, y, n = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.table({"x": pa.array(x), "y": pa.array(y), "edits": pa.array(n.astype(np.int32))})
 
     return meetings.groupBy("bucket").applyInArrow(run, "x long, y long, edits int")
 
@@ -287,46 +318,100 @@ def line_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, line binary")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows; df must be cheap to count."""
-    return df.hint("broadcast") if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, size=None) -> DataFrame:
+    """df with a broadcast hint if its rows take few bytes; df must be cheap to count. size: a row's bytes, 32 by default."""
+    return df.hint("broadcast") if (df.agg(F.sum(F.lit(32) if size is None else size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Every line that repeats an earlier one: doc_id, copy, line, of_doc_id, of_line (the earliest such line) and edits.
-
-    An exact repeat counts as 0 edits of the line's first occurrence; a first occurrence may be within some edits of an
-    earlier line.
-    """
-    met = checkpoint(shared(listed(docs, buckets(docs.sparkSession))))
+def _repeats(docs: DataFrame, edits: int, per: int) -> DataFrame:
+    """repeats() with n and total of the line's own document, too (the line it repeats repeats one itself), and of_copy and of_total of the earlier document."""
+    if not 0 <= edits <= 31:
+        raise ValueError("edits must be from 0 to 31")
+    met = checkpoint(shared(listed(docs, buckets(docs), edits, per)))
     wanted = checkpoint(met.select("h").distinct())
     texts = line_texts(docs).join(small(wanted), "h", "left_semi").dropDuplicates(["h"])
-    pairs = checkpoint(verified(met.join(texts, "h")).distinct())
+    pairs = checkpoint(verified(met.join(texts, "h"), edits, per).distinct())
     seen = checkpoint(occurrences(docs))
-    place = F.struct("doc_id", "line", "copy")
-    firsts = seen.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    place = F.struct("doc_id", "line", "copy", "total")
+    firsts = seen.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     each = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("h"), F.col("y").alias("other"), "edits"), F.struct(F.col("y").alias("h"), F.col("x").alias("other"), "edits"))).alias("p")).select("p.*")
     named = each.join(firsts.select("h", "first"), "h").join(firsts.select(F.col("h").alias("other"), F.col("first").alias("other_first")), "other")
     late = named.where("other_first < first").groupBy("h").agg(F.min(F.struct("other_first", "edits")).alias("of"))
-    repeated = firsts.join(late, "h", "left").where("n > 1 or of is not null").select("h", "first", "of")
+    repeated = firsts.join(late, "h", "left").where("times > 1 or of is not null").select("h", "first", "of")
     return (
         seen.join(repeated, "h")
-        .select("doc_id", "copy", "line", F.when(place == F.col("first"), F.col("of")).otherwise(F.struct(F.col("first").alias("other_first"), F.lit(0).alias("edits"))).alias("of"))
+        .select("doc_id", "copy", "line", "n", "total", ((place != F.col("first")) & F.col("of").isNotNull()).alias("too"), F.when(place == F.col("first"), F.col("of")).otherwise(F.struct(F.col("first").alias("other_first"), F.lit(0).alias("edits"))).alias("of"))
         .where("of is not null")
         .distinct()
-        .select("doc_id", "copy", "line", F.col("of.other_first.doc_id").alias("of_doc_id"), F.col("of.other_first.line").alias("of_line"), F.col("of.edits").alias("edits"))
+        .select("doc_id", "copy", "line", "n", "total", "too", F.col("of.other_first.doc_id").alias("of_doc_id"), F.col("of.other_first.line").alias("of_line"), F.col("of.edits").alias("edits"), F.col("of.other_first.copy").alias("of_copy"), F.col("of.other_first.total").alias("of_total"))
+    )
+
+
+def repeats(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """Every line that repeats an earlier one: doc_id, copy, line, of_doc_id, of_line (the earliest such line) and edits.
+
+    An exact repeat counts as 0 edits of the line's first occurrence; a first occurrence may be within some edits of an
+    earlier line.
+    """
+    return _repeats(docs, edits, per).select("doc_id", "copy", "line", "of_doc_id", "of_line", "edits")
+
+
+def alike_texts(docs: DataFrame, pairs: DataFrame, ngram: int, theta: float) -> DataFrame:
+    """The pairs (copy, of_copy: hashes of texts) whose texts have a Jaccard similarity of word n-grams of at least theta."""
+    wanted = checkpoint(pairs.select(F.explode(F.array("copy", "of_copy")).alias("copy")).distinct())
+    texts = _rows(docs).select("copy", "text").join(small(wanted), "copy", "left_semi").dropDuplicates(["copy"])
+    both = pairs.join(texts.select(F.col("copy").alias("of_copy"), F.col("text").alias("of_text")), "of_copy").join(texts, "copy").select("copy", "of_copy", "text", "of_text")
+
+    def run(batches):
+        for b in pieces(batches, 3):
+            keep = []
+            for x, y in zip(ngram_sets(b.column(2), ngram), ngram_sets(b.column(3), ngram)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common > 0 and common >= theta * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["copy", "of_copy"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "copy long, of_copy long")
+
+
+def going(docs: DataFrame, edits: int = EDITS, per: int = PER, least: float = LEAST, ngram: int = NGRAM, theta: float = THETA) -> DataFrame:
+    """doc_id, copy and lines (numbers) of the documents that lose lines."""
+    # a document's lines that repeat one and the same line of another count once
+    same = Window.partitionBy("doc_id", "copy", "of_doc_id", "of_copy", "of_line").orderBy("line")
+    marked = _repeats(docs, edits, per).withColumn("again", F.row_number().over(same) > 1)
+    own = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("copy") == F.col("of_copy"))
+    by_source = marked.groupBy("doc_id", "copy", "of_doc_id", "of_copy").agg(
+        F.sum(F.when(F.col("again"), 0).otherwise(F.col("n"))).alias("common"),
+        F.first("total").alias("total"),
+        F.first("of_total").alias("of_total"),
+        F.collect_list("line").alias("lines"),
+        F.collect_list(F.when(F.col("again") | F.col("too"), F.col("line"))).alias("also"),
+        F.first(own).alias("own"),
+    )
+    part = F.when(F.col("own"), 0.0).otherwise(F.col("common") / (F.col("total") + F.col("of_total") - F.col("common")))
+    by_document = checkpoint(
+        by_source.groupBy("doc_id", "copy").agg(F.max(F.struct(part.alias("part"), "of_doc_id", "of_copy", "also")).alias("most"), F.collect_list(F.struct("of_doc_id", "of_copy", "lines")).alias("each"))
+    )
+    maybe = by_document.where(F.col("most.part") >= least).select("copy", F.col("most.of_copy").alias("of_copy")).distinct()
+    alike = maybe.where("copy = of_copy").union(alike_texts(docs, checkpoint(maybe.where("copy <> of_copy")), ngram, theta)).withColumn("alike", F.lit(True))
+    others = F.filter("each", lambda e: ~(e["of_doc_id"].eqNullSafe(F.col("most.of_doc_id")) & (e["of_copy"] == F.col("most.of_copy"))))
+    lines_of = lambda each: F.flatten(F.transform(each, lambda e: e["lines"]))
+    return (
+        by_document.withColumn("of_copy", F.col("most.of_copy"))
+        .join(alike, ["copy", "of_copy"], "left")
+        .select("doc_id", "copy", F.when((F.col("most.part") >= least) & F.col("alike"), F.concat(lines_of(others), F.col("most.also"))).otherwise(lines_of(F.col("each"))).alias("lines"))
+        .where("size(lines) > 0")
     )
 
 
-def drop_repeats(docs: DataFrame, most: float = MOST) -> DataFrame:
-    """docs without repeated lines, all columns; n_chars, where there is one, follows the text. Who would lose more than most stays whole."""
-    gone = checkpoint(repeats(docs).groupBy(F.col("doc_id").alias("__of"), F.col("copy").alias("__copy")).agg(F.collect_set("line").alias("__lines")))
-    text = docs["text"]
-    joined = docs.join(small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(text.cast("string")) == F.col("__copy")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    kept = F.when(F.col("__lines").isNotNull() & (F.length(kept) >= (1 - most) * F.length(text)), kept).otherwise(text)
-    out = joined.withColumn("__kept", kept)
-    return out.select(*(F.col("__kept").alias("text") if c == "text" else F.length("__kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
+def drop_repeats(docs: DataFrame, edits: int = EDITS, per: int = PER, least: float = LEAST) -> DataFrame:
+    """docs without repeated lines, all columns; n_chars, where there is one, follows the text. Copies keep what they have from the document they copy."""
+    of, copy, lines, kept = fresh(docs.columns, "of", "copy", "lines", "kept")
+    gone = checkpoint(going(docs, edits, per, least).select(F.col("doc_id").alias(of), F.col("copy").alias(copy), F.col("lines").alias(lines)))
+    text = docs["text"].cast("string")
+    joined = docs.join(small(gone, F.lit(40) + 4 * F.size(lines)), docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(copy)), "left")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    out = joined.withColumn(kept, F.when(F.col(lines).isNotNull(), left).otherwise(text))
+    return out.select(*(F.col(kept).alias(c) if c == "text" else F.length(kept).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[f"`{c.replace('`', '``')}`"] for c in docs.columns))
 
 
 SQL = f"""

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,23 +79,84 @@ def test_empty_table(spark):
     assert run(spark, []) == set()
 
 
+def alike(a: str, b: str) -> bool:
+    def grams(text):
+        w = re.findall(r"[0-9a-zA-Z\u0080-\U0010ffff]+", text.lower())
+        return {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+
+    x, y = grams(a), grams(b)
+    return bool(x & y) and len(x & y) >= 0.5 * len(x | y) - 1e-9
+
+
+def brute_left(rows):
+    """What drop_repeats leaves of texts with different ids, said again."""
+    texts = {i: t for i, t in rows}
+    different = {i: {x.strip(" \t\r").encode() for x in (t or "").split("\n")} - {b""} for i, t in rows}
+    found = brute(rows)
+    goes = {(i, k) for i, k, *_ in found}
+    out = {}
+    for i, t in rows:
+        own = sorted(r for r in found if r[0] == i)
+        sources = {}
+        for _, k, j, at, _ in own:
+            size = len((t.split("\n")[k]).strip(" \t\r").encode())
+            sources.setdefault(j, {}).setdefault(at, (k, size))
+        best = max(((sum(n for _, n in s.values()) / (sum(map(len, different[i])) + sum(map(len, different[j])) - sum(n for _, n in s.values())) if j != i else 0.0, j is not None, j or 0, j) for j, s in sources.items()), default=(0.0, False, 0, None))
+        whole = best[0] >= lines.LEAST and alike(t, texts[best[3]])
+        gone = {k for _, k, j, at, d in own if not (whole and j == best[3] and sources[j][at][0] == k and not (d == 0 and (j, at) in goes))}
+        out[i] = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return out
+
+
 def test_drop_repeats(spark):
     shared = "This line stands in many documents."
     second, fourth = "The second text has another line, of course, " * 3 + "yes.", "Only a blank line and a longer line are left here, " * 3 + "so."
-    rows = [(1, f"{shared}\nThe first text has a line of its own here.", "a", 5), (2, f"{second}\n{shared}", "b", 5), (3, shared, "c", 5), (None, None, "d", None), (4, f"{shared} \n\n{fourth}", "e", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, n_chars long")
+    rows = [(1, f"{shared}\nThe first text has a line of its own here.", "a", 5, 1), (2, f"{second}\n{shared}", "b", 5, 2), (3, shared, "c", 5, 3), (None, None, "d", None, 4), (4, f"{shared} \n\n{fourth}", "e", 5, 5), (6, f"{second}\n{fourth}\n{shared}", "f", 5, 6), (7, f"{second}\nand\n{second}\n{shared}", "g", 5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy string, n_chars long, `__of.it` int").withColumns({c: lines.F.lit(7) for c in ("of", "_of", "lines", "kept", "h", "alike", "__kept")})
     out = lines.drop_repeats(docs)
     assert out.columns == docs.columns
     got = {r.doc_id: r for r in out.collect()}
-    assert len(got) == 5
+    assert {i: r.text for i, r in got.items()} == brute_left([r[:2] for r in rows])
     assert got[1].text == rows[0][1]
-    assert got[2].text == second and got[2].n_chars == len(got[2].text)
-    assert got[3].text == shared  # a copy as a whole stays whole
+    assert got[2].text == second and got[2].n_chars == len(second)
+    assert got[3].text == "" and got[3].n_chars == 0
     assert got[4].text == "\n" + fourth
-    assert got[None].text is None and got[None].h == "d"
+    assert got[7].text == f"{second}\nand"  # a copy of the second: keeps what that one keeps, once
+    assert got[None].text is None and got[None].copy == "d" and got[4]["__of.it"] == 5
+
+
+def test_drop_repeats_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base = [" ".join(rng.choice(["red", "green", "blue", "sea", "sky", "tree", "house"], rng.integers(4, 14))) + f" {k}" for k in range(40)]
+    rows = [(k, "\n".join(base[j] for j in rng.integers(0, 40, 6))) for k in range(12)]
+    for k in range(40):  # copies of a document, changed a little
+        own = rows[rng.integers(0, 12)][1].split("\n")
+        for at in rng.integers(0, 6, rng.integers(0, 4)):
+            own[at] = edited(rng, own[at]) if rng.integers(2) else base[rng.integers(40)]
+        rows.append((100 + k, "\n".join(own)))
+    got = {r.doc_id: r.text for r in lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_left(rows)
+
+
+def test_drop_repeats_of_nothing(spark):
+    assert lines.drop_repeats(spark.createDataFrame([], "doc_id long, text string, of int")).collect() == []
+
+
+def test_edits_are_a_parameter(spark):
+    a = "abcdefghij" * 12
+    rows = [(1, a), (2, a[:30] + "XYZ" + a[34:70] + "UV" + a[72:]), (3, "other " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines.repeats(docs).collect() == []
+    assert [(r.doc_id, r.of_doc_id, r.edits) for r in lines.repeats(docs, 8).collect()] == [(2, 1, 6)]
+
+
+def test_many_lines_that_share_a_segment(spark):
+    rows = [(k, f"a beginning that all of the many lines have {(k * 2654435761) % 2**32:032b}{(k * 40503) % 65536:016b}") for k in range(1500)] + [(9999, f"a beginning that all of the many lines have {2654435761 % 2**32:032b}{40503:016b}!")]
+    got = lines.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (9999, 1) in {(r.doc_id, r.of_doc_id) for r in got}
 
 
 def test_shuffled_selection_gives_the_same(spark, monkeypatch):
     rows = [(k, f"a line of some length with a number {k % 4}\nand another") for k in range(20)]
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)
     assert run(spark, rows) == brute(rows)

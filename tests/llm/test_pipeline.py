@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tessera.llm import lines, queries, toxicity
+from tessera.llm import queries, toxicity
 
 from .test_documents import by_rules
 from .test_jaccard import brute as brute_groups
-from .test_lines import brute as brute_lines
+from .test_lines import brute_left
 
 
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
@@ -31,13 +31,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     assert after == {i: t for i, t in before.items() if by_rules(t, g)[0] < toxicity.THRESHOLD} and 9_000 not in after
     # lines
     before, after = map(texts, kept["line_dedup"])
-    gone = {}
-    for i, k, *_ in brute_lines(list(before.items())):
-        gone.setdefault(i, set()).add(k)
-    want = {}
-    for i, t in before.items():
-        rest = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(i, ()))
-        want[i] = rest if t is not None and len(rest) >= (1 - lines.MOST) * len(t) else t
+    want = brute_left([(r.doc_id, r.text) for r in kept["line_dedup"][0].collect()])
     assert after == want and after[9_002] != before[9_002]
     # near duplicates
     before, after = map(texts, kept["near_duplicates"])
