@@ -3,10 +3,14 @@
 Each clause of a text becomes a string of word classes (insult, threat, target, negation, report, degree, other). Small
 transducers for insults, threats, targets, negation and reported speech are composed into one deterministic transducer,
 which runs over the clause and sums the weights of the matches: a clause scores for a threat to a target or an insult; a
-built-in insult alone stays below the threshold, one aimed at a target reaches it, and one under a negation ("not an idiot") or in reported speech ("she said that he is
-an idiot") scores a fraction. A text's score is the sum over its clauses; it is toxic from ``threshold`` on. Threats are
-matched in the word order of their language: the target after the verb (English), between intent and infinitive (German,
-French), and in Spanish after the verb, before the intent or as the infinitive's ending.
+built-in insult alone stays below the threshold, one aimed at a target reaches it, and one under a negation ("not an idiot",
+"doesn't look stupid") or in reported speech ("she said that he is an idiot") scores a fraction. Threats need an intent before
+the verb ("will", "going to"), unless they tell the reader to do it to themselves, and a target in the word order of their
+language: after the verb (English), between intent and infinitive (German, French), and in Spanish after the verb, before the
+intent or as the infinitive's ending.
+
+A text's score is that of its highest clause, or the sum of what learned words score in all clauses, if that is more; built-in
+words never add up over clauses, so a long text is judged as a short one is. It is toxic from ``threshold`` on.
 
 The insult words are a short built-in English list and the words learned from labelled documents: at most ``fit_rows``
 labelled rows (a bounded sample, chosen by a hash of the id) give the counts by label; a word joins the lexicon if a binomial
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces
+from tessera.llm.common import checkpoint, pieces
 
 #: Rows of the labels that the lexicon is fitted on at most.
 FIT_ROWS = 20_000
@@ -39,22 +43,25 @@ P_VALUE = 1e-6
 MIN_ODDS, SURE_ODDS = 8.0, 100.0
 
 INSULTS = "idiot idiots moron morons loser losers scum clown clowns trash stupid pathetic worthless disgusting imbecile imbeciles dumbass dimwit halfwit cretin vermin subhuman jerk bastard bastards filth".split()
-THREATS = "kill murder destroy hurt beat strangle stab shoot smash crush".split()
+THREATS = "kill murder destroy hurt beat strangle stab shoot smash crush punch choke slaughter torture attack killing murdering destroying hurting beating strangling stabbing shooting smashing crushing punching choking slaughtering torturing attacking".split()
 #: German and French infinitives, which stand after their target; Spanish ones, and those that end in it.
 THREATS_LAST = "töten umbringen ermorden verprügeln verletzen erstechen erschießen erwürgen vernichten zerstören tuer assassiner détruire frapper étrangler poignarder égorger buter écraser massacrer".split()
 THREATS_ES = "matar asesinar destruir golpear estrangular apuñalar aplastar".split()
 THREATS_OBJECT = [v + who for v in THREATS_ES for who in ("te", "os")]
 #: The words that make a threat of a verb: a future or a will stands before it.
 INTENTS = "will shall gonna going ll must should werde wirst voy vais vas".split()
-TARGETS = "you your yours yourself u he she they them him his her their we these those du dich dir ihr euch sie er tu te toi vous il elle ils elles usted ustedes ellos ellas".split()
-NEGATIONS = "not never no isn aren wasn weren don doesn didn nicht kein keine keinen nie ne pas jamais nunca".split()
+#: Who is told to do it to themselves.
+SELVES = "yourself yourselves".split()
+TARGETS = "you your yours u he she they them him his her their we these those du dich dir ihr euch sie er tu te toi vous il elle ils elles usted ustedes ellos ellas".split()
+NEGATIONS = "not never no isn aren wasn weren don doesn didn ain won wouldn couldn shouldn haven hasn hadn nicht kein keine keinen nie ne pas jamais nunca".split()
 REPORTS = "said says say saying told tells wrote writes claims claimed called reported reportedly quoted sagte sagt dit disait dijo dice".split()
-DEGREES = "a an the so such very really total complete utter ein eine un une una el la le".split()
+#: Words over which a negation or an intent holds; t is what contractions leave ("isn't").
+DEGREES = "t to be been being look looks looking seem seems sound sounds feel feels a an the so such very really total complete utter ein eine un une una el la le".split()
 
 WORD = re.compile(r"\w+")
 CLAUSE = re.compile(r"[.!?;:,\n]+")
 
-OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, DEGREE, THREAT_LAST, THREAT_ES, THREAT_OBJECT = KINDS = range(11)
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, DEGREE, THREAT_LAST, THREAT_ES, THREAT_OBJECT, SELF = KINDS = range(12)
 #: Weight of a match, and what is left of it under a negation, in reported speech, or with a target in its clause.
 W_INSULT, W_THREAT, W_TARGET, KEEP_NEGATED, KEEP_REPORTED = 0.6, 2.0, 0.5, 0.1, 0.4
 
@@ -62,7 +69,7 @@ W_INSULT, W_THREAT, W_TARGET, KEEP_NEGATED, KEEP_REPORTED = 0.6, 2.0, 0.5, 0.1,
 def classes(insults) -> dict[str, int]:
     """Class of each word; where lists overlap the first of insult, threats, intent, negation, report, target, degree counts."""
     out: dict[str, int] = {}
-    for kind, words in ((INSULT, insults), (THREAT, THREATS), (THREAT_LAST, THREATS_LAST), (THREAT_ES, THREATS_ES), (THREAT_OBJECT, THREATS_OBJECT), (INTENT, INTENTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (DEGREE, DEGREES)):
+    for kind, words in ((INSULT, insults), (THREAT, THREATS), (THREAT_LAST, THREATS_LAST), (THREAT_ES, THREATS_ES), (THREAT_OBJECT, THREATS_OBJECT), (INTENT, INTENTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (SELF, SELVES), (TARGET, TARGETS), (DEGREE, DEGREES)):
         for w in words:
             out.setdefault(w, kind)
     return out
@@ -79,25 +86,28 @@ _NEG = _component({0: "plain", 1: "negated"}, 0, lambda s, c: (1 if c == NEGATIO
 #: report: after a verb of saying the rest of the clause is reported.
 _REP = _component({0: "direct", 1: "reported"}, 0, lambda s, c: (1 if s or c == REPORT else 0, s))
 #: target: a person was named before in the clause.
-_TGT = _component({0: "none", 1: "named"}, 0, lambda s, c: (1 if s or c == TARGET else 0, s))
+_TGT = _component({0: "none", 1: "named"}, 0, lambda s, c: (1 if s or c in (TARGET, SELF) else 0, s))
 #: threat: 1 after an intent, 2 after intent and verb; a target next completes the match. 3 after an intent and then a target,
 #: 4 after a target, 5 after a target and then an intent: there an infinitive of the languages that want it completes it.
+#: 6 after a verb without an intent, which "yourself" completes; 7 after a negation, behind which such a verb doesn't count.
 def _threat(s: int, c: int) -> tuple[int, int]:
     if c == INTENT:
         return 5 if s == 4 else 1, 0
     if s in (1, 3, 5):
-        if c in (DEGREE, TARGET):
-            return 3 if c == TARGET else s, 0
+        if c in (DEGREE, TARGET, SELF):
+            return s if c == DEGREE else 3, 0
         if c == THREAT or c == THREAT_ES and s == 1:
             return 2, 0
         if c == THREAT_OBJECT or c == THREAT_LAST and s == 3 or c == THREAT_ES:
             return 0, 1
-    if s == 2 and c == DEGREE:
-        return 2, 0
-    return 4 if c == TARGET else 0, 1 if s == 2 and c == TARGET else 0
+    if s in (2, 6, 7) and c == DEGREE:
+        return s, 0
+    if c in (TARGET, SELF):
+        return 4, 1 if s == 2 or s == 6 and c == SELF else 0
+    return 7 if c == NEGATION else 6 if c == THREAT and s != 7 else 0, 0
 
 
-_THR = _component({0: "none", 1: "intent", 2: "verb", 3: "intent, target", 4: "target", 5: "target, intent"}, 0, _threat)
+_THR = _component({0: "none", 1: "intent", 2: "verb", 3: "intent, target", 4: "target", 5: "target, intent", 6: "verb alone", 7: "negated"}, 0, _threat)
 #: insult: emits at an insult word.
 _INS = _component({0: "any"}, 0, lambda s, c: (0, 1 if c == INSULT else 0))
 
@@ -133,15 +143,20 @@ class Grammar:
 
     def __post_init__(self):
         self.kind = classes(self.weights)
+        self.learned = frozenset(w for w, x in self.weights.items() if w not in INSULTS or x > W_INSULT)
         self.needed = frozenset(self.weights).union(THREATS, THREATS_LAST, THREATS_ES, THREATS_OBJECT)
 
-    def clause(self, text: str) -> float:
-        state, score = 0, 0.0
+    def clause(self, text: str) -> tuple[float, float]:
+        """Score of a clause, and what of it is due to learned words."""
+        state, score, learned = 0, 0.0, 0.0
         for w in WORD.findall(text):
             c = self.kind.get(w, OTHER)
             state, weight, scale = self.table[state][c]
-            score += weight + (scale * self.weights[w] if scale else 0.0)
-        return score
+            weight += scale * self.weights[w] if scale else 0.0
+            score += weight
+            if w in self.learned:
+                learned += weight
+        return score, learned
 
     def score(self, text: str | None) -> tuple[float, int]:
         """Score of a whole text and the number of clauses that score. Clauses without an insult or threat word score 0."""
@@ -150,8 +165,8 @@ class Grammar:
         text = text.lower()
         if self.needed.isdisjoint(WORD.findall(text)):
             return 0.0, 0
-        found = [s for c in CLAUSE.split(text) if (s := self.clause(c)) > 0]
-        return round(sum(found), 6), len(found)
+        found = [s for c in CLAUSE.split(text) if (s := self.clause(c))[0] > 0]
+        return round(max((max(s for s, _ in found), sum(n for _, n in found))), 6) if found else 0.0, len(found)
 
 
 def labelled(labels: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -215,7 +230,7 @@ def learned(k: int, m: int, toxic: int, clean: int) -> float:
 def fit(labels: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
     """The grammar with the built-in insults at weight ``W_INSULT`` and the learned ones at a weight that follows their log odds."""
     weights = {w: W_INSULT for w in INSULTS}
-    sample = labelled(labels, docs, fit_rows)
+    sample = checkpoint(labelled(labels, docs, fit_rows))
     # words of the sample that lean to toxic, so bounded by fit_rows
     rows = word_counts(sample).where("word = '\0' or toxic >= 3 and toxic > clean").collect()
     total = next((r for r in rows if r.word == "\0"), None)

@@ -226,35 +226,54 @@ def test_pages_have_all_their_words(spark, sf_dir):
 # toxicity
 
 
-GRAMMAR = toxicity.Grammar({w: 1.0 for w in toxicity.INSULTS} | {"weak": 0.4})
+GRAMMAR = toxicity.Grammar({w: toxicity.W_INSULT for w in toxicity.INSULTS} | {"weak": 0.4})
+
+
+def back(kinds, k, over):
+    """Place of the nearest word before k that isn't of these kinds, or -1."""
+    k -= 1
+    while k >= 0 and kinds[k] in over:
+        k -= 1
+    return k
+
+
+def threatens(kinds, k):
+    """Whether an English threat ends at the word k."""
+    x = toxicity
+    verb = back(kinds, k, (x.DEGREE,))
+    if kinds[k] not in (x.TARGET, x.SELF) or verb < 0 or kinds[verb] != x.THREAT:
+        return False
+    before = back(kinds, verb, (x.DEGREE, x.TARGET, x.SELF))
+    if before >= 0 and kinds[before] == x.INTENT:
+        return True
+    before = back(kinds, verb, (x.DEGREE,))
+    return kinds[k] == x.SELF and not (before >= 0 and kinds[before] == x.NEGATION)
 
 
 def by_rules(text, g=GRAMMAR):
     """The grammar said again as rules over words."""
-    total, n = 0.0, 0
+    scores, learned = [], 0.0
     for clause in toxicity.CLAUSE.split((text or "").lower()):
-        score, named, reported, threat = 0.0, False, False, 0
+        score, named, reported = 0.0, False, False
         words = toxicity.WORD.findall(clause)
         kinds = [g.kind.get(w, toxicity.OTHER) for w in words]
         for k, (w, c) in enumerate(zip(words, kinds)):
-            back = k - 1
-            while back >= 0 and kinds[back] == toxicity.DEGREE:
-                back -= 1
-            negated = back >= 0 and kinds[back] == toxicity.NEGATION
+            before = back(kinds, k, (toxicity.DEGREE,))
+            negated = before >= 0 and kinds[before] == toxicity.NEGATION
             scale = (toxicity.KEEP_NEGATED if negated else 1) * (toxicity.KEEP_REPORTED if reported else 1)
             if c == toxicity.INSULT:
                 score += (g.weights[w] + toxicity.W_TARGET * named) * scale
-            if threat == 2 and c == toxicity.TARGET:
+                learned += (g.weights[w] + toxicity.W_TARGET * named) * scale * (w in g.learned)
+            if threatens(kinds, k):
                 score += toxicity.W_THREAT * scale
-            threat = 1 if c == toxicity.INTENT or threat == 1 and c in (toxicity.DEGREE, toxicity.TARGET) else 2 if threat == 1 and c == toxicity.THREAT or threat == 2 and c == toxicity.DEGREE else 0
-            named |= c == toxicity.TARGET
+            named |= c in (toxicity.TARGET, toxicity.SELF)
             reported |= c == toxicity.REPORT
-        total, n = total + score, n + (score > 0)
-    return round(total, 6), n
+        scores.append(score)
+    return round(max(max(scores), learned), 6), sum(s > 0 for s in scores)
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from("you idiot not a will kill them said weak word . , never the moron must i".split()), max_size=14).map(" ".join))
+@given(st.lists(st.sampled_from("you idiot not a will kill them said weak word . , never the moron must i yourself going to isn t look".split()), max_size=14).map(" ".join))
 def test_transducer_is_the_rules(text):
     score, n = GRAMMAR.score(text)
     want, m = by_rules(text)
@@ -274,6 +293,25 @@ def test_every_row_is_scored(docs, none):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
+def brute_fit(labels, rows):
+    """The lexicon of labels that all fit the sample, counted word by word."""
+    toxic = {}
+    for i, x in labels:
+        if i is not None and x is not None:
+            toxic[i] = max(x, toxic.get(i, 0))
+    said = [(toxic[i], re.findall(r"\w+", t.lower())) for i, t in rows if i in toxic and t is not None]
+    bad, good = sum(x for x, _ in said), sum(1 - x for x, _ in said)
+    weights = {w: toxicity.W_INSULT for w in toxicity.INSULTS}
+    for w in {w for _, words in said for w in words if len(w) >= 3}:
+        held = [x for x, words in said if w in words]
+        if sum(held) >= 3 and 2 * sum(held) > len(held):
+            around = {(x, words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "") for x, words in said for k, v in enumerate(words) if v == w}
+            k = sum(x for x, *_ in around)
+            if found := toxicity.learned(k, len(around) - k, bad, good):
+                weights[w] = max(found, weights.get(w, 0.0))
+    return weights
+
+
 def test_fit_learns_from_contexts_and_not_from_copies(spark):
     rng = np.random.default_rng(3)
     usual = [f"w{k}" for k in range(300)]
@@ -289,6 +327,7 @@ def test_fit_learns_from_contexts_and_not_from_copies(spark):
     rows += [(1000 + k, "a copied text that was toxic once zork") for k in range(30)] + [(2000, None)]
     labels += [(1000 + k, 1) for k in range(30)] + [(2000, 1), (None, 1), (1, None), (3000, 0)]
     g = toxicity.fit(spark.createDataFrame(labels, "doc_id long, toxic int"), spark.createDataFrame(rows, "doc_id long, text string"))
+    assert g.weights == brute_fit(labels, rows)
     assert g.weights["blargh"] >= 1 and "zork" not in g.weights and "copied" not in g.weights
     empty = toxicity.fit(spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "doc_id long, text string"))
     assert set(empty.weights) == set(toxicity.INSULTS)
