@@ -4,11 +4,13 @@ A document of n tokens costs ``LINEAR * n + QUADRATIC * n * n`` (attention withi
 the sequence of lowest cost that has room for all their tokens; if none has, a new sequence begins. A document longer than a
 sequence is cut into full pieces and a rest, so no token is lost.
 
-``packed_tokens``, which the queries use, counts the tokens of each whole text with the package's BPE encoder. ``packed`` takes
-any column of lengths, and without one estimates them by bytes, well under what encoders give.
+Lengths are the tokens that the package's BPE encoder gives for each whole text, or any column of lengths.
 
-Scale: documents are hashed into groups of about ``GROUP`` rows and each group is packed alone, in one task; the number of
-groups follows the number of rows, so a task's work stays bounded. Only ids and sizes are shuffled, never texts.
+The open sequences are kept by the room they have left, the cheapest of each room in a heap and the minima in a tree over the
+rooms, so a piece costs the logarithm of the capacity.
+
+Scale: lengths are counted once and written; pieces are then hashed into groups of about ``GROUP`` and each group is packed
+alone, in one task, whose work is bounded whatever the texts. Only ids and sizes are shuffled, never texts.
 
 Edge cases: a null or empty text has 0 tokens and is packed as a piece of 0 tokens; equal costs go to the lower sequence, and
 equal lengths are taken in order of id (nulls first), then hash of the text; repeated rows are packed each; an empty table
@@ -17,6 +19,9 @@ packs into nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
+from tessera.llm.common import checkpoint
 from tessera.llm.common import pieces as slices
 
-#: Tokens of a sequence; bytes that count as a token where none are counted; rows packed together; rows encoded together.
-CAPACITY, TOKEN_BYTES, GROUP, ENCODED = 4096, 4, 16_384, 256
+#: Tokens of a sequence; pieces packed together; rows encoded together.
+CAPACITY, GROUP, ENCODED = 4096, 65_536, 256
 #: Cost per token and per squared token (attention flops over linear flops for a model width of 4096, a token costs 12 * width).
 LINEAR, QUADRATIC = 1.0, 1.0 / (6 * 4096)
 
@@ -37,21 +43,42 @@ SCHEMA = "doc_id long, piece int, n_tokens int, sequence string, token_start int
 def pack(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, first token, cost) of pieces of the given sizes, which descend and fit the capacity."""
     n = len(sizes)
-    room, load = np.zeros(n, np.int64), np.zeros(n)
     seq, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
     cost = linear * sizes + quadratic * sizes.astype(np.float64) ** 2
+    leaves = 1 << capacity.bit_length()
+    none = (math.inf, n)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]  # (load, sequence) by room
+    least = [none] * (2 * leaves)  # of the rooms below each node
+
+    def update(room: int) -> None:
+        k = leaves + room
+        least[k] = heaps[room][0] if heaps[room] else none
+        while k > 1:
+            k >>= 1
+            least[k] = min(least[2 * k], least[2 * k + 1])
+
+    left_of: dict[int, int] = {}
     used = 0
-    for k in range(n):
-        s = sizes[k]
-        fits = np.flatnonzero(room[:used] >= s)
-        if len(fits):
-            to = fits[np.argmin(load[fits])]
+    for k, (s, c) in enumerate(zip(sizes.tolist(), cost.tolist())):
+        # the minimum over all rooms from s on
+        best, left, right = none, leaves + s, 2 * leaves
+        while left < right:
+            if left & 1:
+                best = min(best, least[left])
+                left += 1
+            left >>= 1
+            right >>= 1
+        if best is none:
+            load, to, room, used = 0.0, used, capacity, used + 1
         else:
-            to, used = used, used + 1
-            room[to] = capacity
-        seq[k], start[k] = to, capacity - room[to]
-        room[to] -= s
-        load[to] += cost[k]
+            load, to = best
+            room = left_of[to]
+            heapq.heappop(heaps[room])
+            update(room)
+        seq[k], start[k] = to, capacity - room
+        left_of[to] = room - s
+        heapq.heappush(heaps[room - s], (load + c, to))
+        update(room - s)
     return seq, start, cost
 
 
@@ -70,27 +97,16 @@ def counted(docs: DataFrame, path: str = bpe.RANKS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, n long")
 
 
-def packed_tokens(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """packed() with the tokens that the BPE encoder gives for each whole text."""
-    return _packed(counted(docs), _groups(docs), capacity)
-
-
-def packed(docs: DataFrame, capacity: int = CAPACITY, tokens=None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, tokens=None, path: str = bpe.RANKS) -> DataFrame:
     """One row per piece: doc_id, piece, n_tokens, sequence, token_start (place in the sequence) and cost.
 
-    tokens: a column with each row's tokens; by default a quarter of the text's bytes, rounded up.
+    tokens: a column with each row's tokens; by default what the encoder of the vocabulary at path gives for the text.
     """
-    tokens = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / TOKEN_BYTES).cast("long") if tokens is None else tokens
-    return _packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), tokens.alias("n")), _groups(docs), capacity)
-
-
-def _groups(docs: DataFrame) -> int:
-    return max(1, -(-docs.select(F.lit(1)).count() // GROUP))
-
-
-def _packed(sized: DataFrame, groups: int, capacity: int) -> DataFrame:
-    pieces = sized.select(
-        "doc_id", "h", F.pmod(F.xxhash64("doc_id", "h"), F.lit(groups)).cast("int").alias("g"), F.posexplode(F.expr(f"transform(sequence(0L, greatest(0L, (n - 1) div {capacity})), i -> cast(least({capacity}, n - i * {capacity}) as int))")).alias("piece", "n_tokens")
+    text = F.col("text").cast("string")
+    sized = checkpoint(counted(docs, path) if tokens is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), tokens.cast("long").alias("n")))
+    count = sized.agg(F.sum(F.expr(f"greatest(1L, (coalesce(n, 0L) + {capacity - 1}) div {capacity})"))).first()[0] or 0
+    pieces = sized.select("doc_id", "h", F.posexplode(F.expr(f"transform(sequence(0L, greatest(0L, (n - 1) div {capacity})), i -> cast(least({capacity}, n - i * {capacity}) as int))")).alias("piece", "n_tokens")).withColumn(
+        "g", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(max(1, -(-count // GROUP)))).cast("int")
     )
 
     def run(p: pd.DataFrame) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import math
 import re
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -367,7 +368,7 @@ def test_pack_against_brute_force(sizes):
 
 def test_packed_table(docs, none):
     rows = packing.packed(docs).collect()
-    tokens = {i: -(-len((t or "").encode()) // 4) for i, t in TEXTS}
+    tokens = {i: len(bpe.codec().encode([t or ""])[0]) // 4 for i, t in TEXTS}
     for i, t in TEXTS:
         mine = [r for r in rows if r.doc_id == i]
         assert sum(r.n_tokens for r in mine) == tokens[i] * sum(j == i for j, _ in TEXTS)
@@ -385,6 +386,21 @@ def test_packed_table(docs, none):
     assert packing.packed(none).collect() == []
 
 
+def test_a_million_pieces():
+    sizes = np.sort(np.random.default_rng(1).integers(1, 4097, 1_000_000))[::-1]
+    began = time.time()
+    seq, start, _ = packing.pack(sizes)
+    assert time.time() - began < 60
+    assert int(np.bincount(seq, sizes).max()) <= packing.CAPACITY and (start + sizes <= packing.CAPACITY).all()
+
+
+def test_given_lengths(spark):
+    rows = [(1, "x", 5000, 1), (2, "y", None, 2), (3, None, 0, 3), (4, "z", 10, 4), (4, "z", 10, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, g int")
+    got = sorted((r.doc_id, r.piece, r.n_tokens) for r in packing.packed(df, tokens=packing.F.coalesce("n", packing.F.lit(0))).collect())
+    assert got == [(1, 0, 4096), (1, 1, 904), (2, 0, 0), (3, 0, 0), (4, 0, 10), (4, 0, 10)]
+
+
 def test_packed_rows_follow_brute_force(spark, monkeypatch, real):
     monkeypatch.setattr(packing, "GROUP", 64)
     rows = packing.packed(real).collect()
