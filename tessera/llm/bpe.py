@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import pieces
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a text is cut into words before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,7 +145,7 @@ def encoded(docs: DataFrame, path: str = RANKS, batch_rows: int = 256) -> DataFr
 
     def run(batches):
         c = codec(path)
-        for whole in batches:
+        for whole in pieces(batches, 1):
             for at in range(0, whole.num_rows, batch_rows):
                 b = whole.slice(at, batch_rows)
                 texts = b.column(1).to_pylist()

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, fingerprints, html, jaccard, kdtree, lines, packing, sharding, toxicity, wordpiece
+from tessera.llm.common import checkpoint, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.common import shared_folder
-
     docs = table(spark, sf_dir, "documents")
     path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     sharding.store(sharding.first_map(spark), path)
-    sharding.store(sharding.rebalance(sharding.load(spark, path, 1), sharding.slot_bytes(docs), sharding.GROWN), path)
+    sizes = checkpoint(sharding.slot_bytes(docs))  # SLOTS rows
+    sharding.store(checkpoint(sharding.rebalance(sharding.load(spark, path, 1), sizes, sharding.GROWN)), path)
     return sharding.assign(docs, sharding.load(spark, path, 1), sharding.load(spark, path))
 
 
@@ -33,7 +33,7 @@ def op3_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_tokens(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
