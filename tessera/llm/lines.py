@@ -44,7 +44,7 @@ EDITS, PER, LEAST = 2, 10, 0.1
 CELLS, PAIRS = 1 << 21, 50_000
 AROUND = b" \t\r"
 #: Bytes up to which a side of a join is broadcast.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def threshold(length: int, edits: int = EDITS, per: int = PER) -> int:
