@@ -15,6 +15,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 CHUNK_BYTES = 1 << 20
+#: Rows that go to Python at once.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 #: Bytes of input whose records share a bucket.
 BUCKET_BYTES = 64 << 20
 #: Rows and bytes of text that Python works on at once.
@@ -37,7 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage."""
+    """Write df to the shared folder and cut its lineage.
+
+    A session that has Spark's usual number of rows in a batch for Python gets BATCH_ROWS from here on, since rows are texts.
+    """
+    if df.sparkSession.conf.get(BATCH, "10000") == "10000":
+        df.sparkSession.conf.set(BATCH, str(BATCH_ROWS))
     if shared_folder(df.sparkSession) and not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
