@@ -55,6 +55,7 @@ class Codec:
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         self.table = np.frombuffer(b"".join(by_id), np.uint8)
         self.known: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -121,6 +122,28 @@ class Codec:
         get = self.known.__getitem__
         return [b"".join(map(get, c)) if c is not None else None for c in cut]
 
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Number of tokens of each text, 0 for a null; only texts with words that aren't known are gone through twice."""
+        if len(self.sizes) > REMEMBERED:
+            self.sizes.clear()
+        size, out, left = self.sizes.__getitem__, [0] * len(texts), {}
+        for k, t in enumerate(texts):
+            if t:
+                c = self.split(t)
+                try:
+                    out[k] = sum(map(size, c))
+                except KeyError:
+                    left[k] = c
+        if left:
+            words = list(set().union(*left.values()).difference(self.sizes))
+            data = [w.encode("utf-8", "surrogatepass") for w in words]
+            lengths = np.array([len(d) for d in data], np.int64)
+            _, counts = self.merge(self.byte[np.frombuffer(b"".join(data), np.uint8)], np.repeat(np.arange(len(data)), lengths), len(data))
+            self.sizes.update(zip(words, counts.tolist()))
+            for k, c in left.items():
+                out[k] = sum(map(size, c))
+        return out
+
     def decode(self, tokens: np.ndarray) -> bytes:
         """The bytes that tokens stand for."""
         sizes = self.size[tokens]

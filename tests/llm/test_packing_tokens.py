@@ -17,3 +17,12 @@ def test_lengths_are_counted_over_whole_texts(spark, tmp_path):
             got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
             assert r.token_start + r.n_tokens <= packing.CAPACITY
         assert got == want
+
+
+def test_counts_are_those_of_the_encoder(monkeypatch):
+    texts = [None, "", " ", "a new word", "anew  words 123,456!", "naïve \U0001f600 x", "a new word", "a" * 300]
+    want = [len(x or b"") // 4 for x in bpe.Codec().encode(texts)]
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    c = bpe.Codec()
+    assert c.count(texts) == c.count(texts) == want
+    assert [c.count([t])[0] for t in texts] == want and c.count([]) == []
