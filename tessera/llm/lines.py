@@ -4,7 +4,7 @@ A line repeats an earlier one (in order of doc_id, then place) if their edit dis
 shorter one's length. The join is exact: a line of threshold t is cut into t + 1 segments, and any line within t edits holds
 one of them unchanged, at a place that the lengths narrow down; so each line lists its own segments and probes, for every
 length that a partner may have, the few substrings that can match. What shares a segment is verified by banded bit-parallel
-edit distance, many pairs at once in numpy, on whole lines. Lengths and edits are counted in bytes of UTF-8.
+edit distance, many pairs at once in numpy, on whole lines, but for pairs whose counts of bytes alone take more edits. Lengths and edits are counted in bytes of UTF-8.
 
 The threshold is a parameter: one edit for each ``per`` bytes, ``edits`` at most (31 is the most that the words of the
 verification hold).
@@ -17,7 +17,7 @@ of the two whole texts' word n-grams is at least ``theta``. Such a copy loses wh
 line that it has twice.
 
 Scale: segments travel as 64-bit hashes in record blobs; text is shuffled for lines that share a segment, once per shared
-segment, and documents once, when lines are taken out, unless the list of lines is small (``BROADCAST_BYTES``).
+segment (a broadcast bit map of fixed size keeps nearly all others where they are), and documents once, when lines are taken out, unless the list of lines is small (``BROADCAST_BYTES``).
 
 Edge cases: lines end at a line feed; spaces, tabs and carriage returns around a line don't count; blank lines stay and
 repeat nothing; a null or empty text has no lines; lines of any length are compared whole; rows that repeat a doc_id and
@@ -27,8 +27,11 @@ untouched, whatever their names.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ CELLS, PAIRS = 1 << 21, 50_000
 AROUND = b" \t\r"
 #: Bytes up to which a side of a join is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bits of the largest map of wanted lines (32 MB), and bytes of it that travel together.
+MAP_BITS, BLOCK = 1 << 28, 1 << 13
 
 
 def threshold(length: int, edits: int = EDITS, per: int = PER) -> int:
@@ -258,6 +263,25 @@ def _banded(a: list[bytes], b: list[bytes], limit: np.ndarray) -> np.ndarray:
     return np.where((result <= limit) & (np.abs(n - m) <= limit), result, limit + 1)
 
 
+def bags(lines: pa.Array) -> np.ndarray:
+    """How often each line has each byte, 255 times at most, bytes taken by their lowest six bits."""
+    out, at, ends = np.zeros((len(lines), 64), np.uint8), 0, np.cumsum(pc.binary_length(lines).to_numpy().astype(np.int64))
+    while at < len(lines):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
+        flat = np.frombuffer(b"".join(lines.slice(at, to - at).to_pylist()), np.uint8)
+        owner = np.repeat(np.arange(to - at) * 64, np.diff(np.concatenate([[before], ends[at:to]])))
+        out[at:to] = np.minimum(np.bincount(owner + (flat & 63), minlength=64 * (to - at)), 255).reshape(-1, 64)
+        at = to
+    return out
+
+
+def edits_at_least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Edits that lines of these bags are apart at least: one mends one byte too many and one too few."""
+    most = np.maximum(x, y)
+    return np.maximum((most - x).sum(axis=1, dtype=np.uint16), (most - y).sum(axis=1, dtype=np.uint16))
+
+
 def verified(meetings: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """Pairs of different lines within the threshold: x, y (hashes, x < y) and edits. meetings: bucket, key, h, role, line.
 
@@ -272,6 +296,8 @@ def verified(meetings: DataFrame, edits: int = EDITS, per: int = PER) -> DataFra
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         ends = np.append(starts[1:], len(keys))
         names, where = np.unique(hs, return_index=True)
+        each = lines.take(pa.array(where))
+        sizes, held = pc.binary_length(each).to_numpy().astype(np.int64), bags(each)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         todo: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -279,12 +305,13 @@ def verified(meetings: DataFrame, edits: int = EDITS, per: int = PER) -> DataFra
             x, y = (np.concatenate(c) for c in zip(*todo))
             todo.clear()
             one = np.unique(np.searchsorted(names, x) * len(names) + np.searchsorted(names, y))
-            x, y = where[one // len(names)], where[one % len(names)]
-            first, second = lines.take(pa.array(x)).to_pylist(), lines.take(pa.array(y)).to_pylist()
-            limit = np.array([threshold(min(len(p), len(q)), edits, per) for p, q in zip(first, second)], np.int64)
-            n = within(first, second, limit)
+            x, y = one // len(names), one % len(names)
+            limit = np.minimum(edits, np.minimum(sizes[x], sizes[y]) // per)
+            keep = np.concatenate([edits_at_least(held[x[k : k + PAIRS]], held[y[k : k + PAIRS]]) <= limit[k : k + PAIRS] for k in range(0, len(x), PAIRS)] or [np.zeros(0, bool)])
+            x, y, limit = x[keep], y[keep], limit[keep]
+            n = within(each.take(pa.array(x)).to_pylist(), each.take(pa.array(y)).to_pylist(), limit)
             keep = n <= limit
-            found.append((hs[x][keep], hs[y][keep], n[keep]))
+            found.append((names[x][keep], names[y][keep], n[keep]))
 
         waiting = 0
         for s, e in zip(starts.tolist(), ends.tolist()):
@@ -307,12 +334,40 @@ def verified(meetings: DataFrame, edits: int = EDITS, per: int = PER) -> DataFra
     return meetings.groupBy("bucket").applyInArrow(run, "x long, y long, edits int")
 
 
-def line_texts(docs: DataFrame) -> DataFrame:
-    """h and line (bytes) of every line that isn't blank, once a slice."""
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Bytes of a map with the bits that the lowest bits of the hashes (column h, written already) name: 64 bits for a hash, or MAP_BITS in all if that is less."""
+    size = min(MAP_BITS, max(8 * BLOCK, 1 << (64 * hashes.count()).bit_length()))
+
+    def run(batches):
+        there = np.zeros(size >> 3, np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)
+            np.bitwise_or.at(there, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        blocks = there.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in used], pa.binary())], names=["block", "bits"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in table.column("bits").to_pylist()], axis=0)
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema, out = "block int, bits binary", np.zeros((size // 8 // BLOCK, BLOCK), np.uint8)
+    for r in hashes.select("h").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect():  # MAP_BITS whatever the input
+        out[r.block] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def line_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """h and line (bytes), once a slice, of every line that isn't blank and whose hash has its bit in the map, which some others have, too."""
+    sent, size = docs.sparkSession.sparkContext.broadcast(wanted), 8 * len(wanted)
 
     def run(batches):
+        bits = sent.value
         for b in pieces(batches, 0):
             found = {h: line for text in b.column(0).to_pylist() for _, h, line in hashed_lines(text)}
+            hashes = np.fromiter(found, np.uint64, len(found)) & np.uint64(size - 1)
+            there = bits[(hashes >> np.uint64(3)).astype(np.int64)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1
+            found = {h: line for (h, line), k in zip(found.items(), there.tolist()) if k}
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.fromiter(found, np.uint64, len(found)))), pa.array(list(found.values()), pa.binary())], names=["h", "line"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, line binary")
@@ -329,7 +384,7 @@ def _repeats(docs: DataFrame, edits: int, per: int) -> DataFrame:
         raise ValueError("edits must be from 0 to 31")
     met = checkpoint(shared(listed(docs, buckets(docs), edits, per)))
     wanted = checkpoint(met.select("h").distinct())
-    texts = line_texts(docs).join(small(wanted), "h", "left_semi").dropDuplicates(["h"])
+    texts = line_texts(docs, bit_map(wanted)).dropDuplicates(["h"])
     pairs = checkpoint(verified(met.join(texts, "h"), edits, per).distinct())
     seen = checkpoint(occurrences(docs))
     place = F.struct("doc_id", "line", "copy", "total")

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -160,3 +161,40 @@ def test_shuffled_selection_gives_the_same(spark, monkeypatch):
     rows = [(k, f"a line of some length with a number {k % 4}\nand another") for k in range(20)]
     monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)
     assert run(spark, rows) == brute(rows)
+
+
+def test_pairs_that_only_share_a_segment_are_not_aligned(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20)) for _ in range(40)]
+    rows = [(k, f"the same segment of it {x} {k % 10}{k // 10}") for k, x in enumerate(own)] + [(90, f"the same segment of it {own[3]} xy"), (91, f"the same segment of it {own[3]} xyz1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tries = spark.sparkContext.accumulator(0)
+    within = lines.within
+    monkeypatch.setattr(lines, "within", lambda a, b, limit: (tries.add(len(a)), within(a, b, limit))[1])
+    assert [(r.doc_id, r.of_doc_id, r.edits) for r in lines.repeats(docs).sort("doc_id").collect()] == [(90, 3, 2), (91, 90, 2)]
+    assert 0 < tries.value <= 20
+
+
+def test_bags_bound_the_edits_from_below():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = bytes(rng.integers(0, 256, rng.integers(1, 30), np.uint8))
+        y = bytearray(x)
+        n = int(rng.integers(0, 6))
+        for _ in range(n):
+            at = int(rng.integers(0, len(y) + 1))
+            y[at : at + int(rng.integers(0, 2))] = bytes(rng.integers(0, 256, rng.integers(0, 2), np.uint8))
+        held = lines.bags(pa.array([x, bytes(y)], pa.binary()))
+        assert lines.edits_at_least(held[:1], held[1:])[0] <= n
+
+
+def test_a_full_bit_map_loses_no_line(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MAP_BITS", 8 * lines.BLOCK)
+    rows = [(k, f"line number {k} has words, {k * k} of them") for k in range(300)] + [(1000 + k, f"line number {k} has words. {k * k} of them") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {1000 + k for k in range(300)} <= {r.doc_id for r in lines.repeats(docs).collect()}
+    wanted = docs.selectExpr("xxhash64(text) as h").localCheckpoint()
+    bits = lines.bit_map(wanted)
+    at = np.array([r.h for r in wanted.collect()], np.int64).view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    assert (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all()
+    assert int(np.bitwise_count(bits).sum()) == len(np.unique(at))
