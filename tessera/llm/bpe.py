@@ -31,6 +31,17 @@ REMEMBERED = 400_000
 NONE = np.int64(1 << 40)
 
 
+class Sizes(dict):
+    """Numbers of tokens by word; a word that isn't known counts 0 at first and is noted in new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        return 0
+
+
 class Codec:
     """Vocabulary tables and the two directions."""
 
@@ -55,7 +66,7 @@ class Codec:
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         self.table = np.frombuffer(b"".join(by_id), np.uint8)
         self.known: dict[str, bytes] = {}
-        self.sizes: dict[str, int] = {}
+        self.sizes = Sizes()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -123,25 +134,24 @@ class Codec:
         return [b"".join(map(get, c)) if c is not None else None for c in cut]
 
     def count(self, texts: list[str | None]) -> list[int]:
-        """Number of tokens of each text, 0 for a null; only texts with words that aren't known are gone through twice."""
+        """Number of tokens of each text, 0 for a null; every text is gone through once, and words that aren't known are added at the end."""
         if len(self.sizes) > REMEMBERED:
             self.sizes.clear()
-        size, out, left = self.sizes.__getitem__, [0] * len(texts), {}
+        size, out, left = self.sizes.__getitem__, [0] * len(texts), []
         for k, t in enumerate(texts):
             if t:
-                c = self.split(t)
-                try:
-                    out[k] = sum(map(size, c))
-                except KeyError:
-                    left[k] = c
+                out[k] = sum(map(size, self.split(t)))
+                if self.sizes.new:
+                    left.append((k, self.sizes.new))
+                    self.sizes.new = []
         if left:
-            words = list(set().union(*left.values()).difference(self.sizes))
+            words = list(set().union(*(new for _, new in left)))
             data = [w.encode("utf-8", "surrogatepass") for w in words]
             lengths = np.array([len(d) for d in data], np.int64)
             _, counts = self.merge(self.byte[np.frombuffer(b"".join(data), np.uint8)], np.repeat(np.arange(len(data)), lengths), len(data))
             self.sizes.update(zip(words, counts.tolist()))
-            for k, c in left.items():
-                out[k] = sum(map(size, c))
+            for k, new in left:
+                out[k] += sum(map(size, new))
         return out
 
     def decode(self, tokens: np.ndarray) -> bytes:

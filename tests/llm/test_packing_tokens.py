@@ -26,3 +26,21 @@ def test_counts_are_those_of_the_encoder(monkeypatch):
     c = bpe.Codec()
     assert c.count(texts) == c.count(texts) == want
     assert [c.count([t])[0] for t in texts] == want and c.count([]) == []
+
+
+def test_only_unknown_words_are_looked_up_twice(monkeypatch):
+    class Counted(bpe.Sizes):
+        looked = 0
+
+        def __getitem__(self, word):
+            Counted.looked += 1
+            return super().__getitem__(word)
+
+    texts = ["some words that come again " * 50, "some words that come again and a new one"]
+    want = [len(x) // 4 for x in bpe.Codec().encode(texts)]
+    c = bpe.Codec()
+    c.sizes = Counted()
+    assert c.count(texts[:1]) == want[:1]
+    Counted.looked = 0
+    assert c.count(texts) == want
+    assert Counted.looked <= sum(len(c.split(t)) for t in texts) + 4
