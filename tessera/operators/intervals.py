@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import overlap_fraction, rung
 
@@ -42,15 +44,45 @@ def timeline(segments: DataFrame, key: str = "media_id") -> DataFrame:
     """Who is speaking from each event on: key, moment, next_moment, active (number of open segments) and speakers.
 
     A sweep: each segment is +1 at its start and -1 at its end; running sums per speaker say who is open. Events at one time
-    count together.
+    count together. A recording's events are read once in the order of time, and only who is open is held meanwhile; one
+    shuffle, by recording, serves all steps. An event without a time comes last, and who has none after that isn't open.
     """
-    events = segments.select(key, "speaker", F.explode(F.array(F.struct(F.col("from_ms").alias("moment"), F.lit(1).alias("d")), F.struct(F.col("to_ms").alias("moment"), F.lit(-1).alias("d")))).alias("e")).groupBy(key, "speaker", F.col("e.moment").alias("moment")).agg(F.sum("e.d").alias("d"))
-    own = events.withColumn("open", F.sum("d").over(W.partitionBy(key, "speaker").orderBy("moment")))
-    # a speaker's state at a time is the last one set up to then; each event changes one speaker, so intervals of state are joined to the times
-    states = own.withColumn("until", F.lead("moment").over(W.partitionBy(key, "speaker").orderBy("moment"))).where("open > 0").select(F.col(key).alias("k"), "speaker", "open", F.col("moment").alias("since"), "until")
-    times = events.select(key, "moment").distinct().withColumn("next_moment", F.lead("moment").over(W.partitionBy(key).orderBy("moment")))
-    met = times.join(states, (F.col(key) == F.col("k")) & (F.col("since") <= F.col("moment")) & (F.col("moment") < F.col("until")), "left")
-    return met.groupBy(key, "moment", "next_moment").agg(F.coalesce(F.sum("open"), F.lit(0)).cast("long").alias("active"), F.array_sort(F.collect_set("speaker")).alias("speakers"))
+    ends = F.explode(F.array(F.struct(F.col("from_ms").alias("moment"), F.lit(1).alias("d")), F.struct(F.col("to_ms").alias("moment"), F.lit(-1).alias("d")))).alias("e")
+    events = segments.select(key, "speaker", ends).select(key, "speaker", "e.*").repartition(key).groupBy(key, "speaker", "moment").agg(F.sum("d").alias("d"))
+    own = W.partitionBy(key, "speaker").orderBy(F.col("moment").asc_nulls_last())
+    open_ = F.sum("d").over(own)
+    states = events.select(key, "moment", "speaker", F.when((open_ > 0) & F.lead("moment").over(own).isNotNull() & F.col(key).isNotNull(), open_).otherwise(F.lit(0)).alias("open"))
+    kinds = {f.name: f.dataType for f in states.schema}
+    out = T.StructType([T.StructField(key, kinds[key]), T.StructField("moment", kinds["moment"]), T.StructField("next_moment", kinds["moment"]), T.StructField("active", T.LongType()), T.StructField("speakers", T.ArrayType(kinds["speaker"]))])
+    return states.sortWithinPartitions(key, F.col("moment").asc_nulls_last()).mapInArrow(_sweep, out)
+
+
+def _sweep(batches):
+    """Rows of timeline from states (recording, moment, speaker, open segments from then on) in the order of recording and moment."""
+    at, held, active, names = None, {}, 0, []
+    for b in batches:
+        rows = []
+        for k, moment, speaker, n in zip(*(c.to_pylist() for c in b.columns)):
+            if (k, moment) != at:
+                if at:
+                    same = at[0] == k
+                    rows.append((*at, moment if same else None, active, names))
+                    if not same:
+                        held, active, names = {}, 0, []
+                at = (k, moment)
+            before = held.get(speaker, 0)
+            active += n - before
+            if n:
+                held[speaker] = n
+            elif before:
+                del held[speaker]
+            if (n > 0) != (before > 0):
+                names = sorted(x for x in held if x is not None)
+        kinds = b.schema.types[0], b.schema.types[1], b.schema.types[1], pa.int64(), pa.list_(b.schema.types[2])
+        make = lambda rows, kinds=kinds: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["k", "moment", "next_moment", "active", "speakers"])
+        yield make(rows)
+    if at:
+        yield make([(*at, None, active, names)])
 
 
 def rebase(segments: DataFrame, chunk_ms: int) -> DataFrame:
