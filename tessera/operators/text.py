@@ -21,6 +21,8 @@ ENTITIES = {
     "URL": r"https?://[A-Za-z0-9./_-]+",
     "PHONE": r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}",
 }
+#: Rows of keys up to which a side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
 SEPARATORS = ["\n\n", "\n", ".", ",", " ", "​", "，", "、", "．", "。", ""]
 
 
@@ -54,10 +56,40 @@ def sentence_table(docs: DataFrame, keys: list[str], text: str = "text") -> Data
     return docs.select(*keys, F.posexplode(sentences(F.col(text))).alias("sent_no", "sentence"))
 
 
-def sentence_words(sents: DataFrame, keys: list[str], stop: list[str] | None = None) -> DataFrame:
-    """Lemma (lower-case word) counts per sentence without stop words: keys, sent_no, lemma, n."""
-    words = sents.select(*keys, "sent_no", F.explode(tokens(F.lower("sentence"))).alias("lemma"))
-    return words.where(~F.col("lemma").isin(*(stop or sorted({w for v in STOPWORDS.values() for w in v})))).groupBy(*keys, "sent_no", "lemma").agg(F.count(F.lit(1)).alias("n"))
+def lemmas(text, stop: list[str] | None = None) -> Column:
+    """Lower-case words that aren't stop words."""
+    stop = stop or sorted({w for v in STOPWORDS.values() for w in v})
+    return F.filter(tokens(F.lower(text)), lambda x: ~x.isin(*stop))
+
+
+def counted(words) -> Column:
+    """Array of (lemma, n) of an array of words. Sorted, a word begins where the one before it differs, so time is as for sorting however long the array."""
+
+    def runs(w):
+        starts = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+        sizes = lambda s: F.transform(s, lambda at, k: F.struct(F.get(w, at).alias("lemma"), (F.coalesce(F.get(s, k + 1), F.size(w)) - at).cast("long").alias("n")))
+        return F.transform(F.array(starts), sizes)[0]
+
+    return F.transform(F.array(F.sort_array(words)), runs)[0]  # in an array, so that what is sorted is computed once
+
+
+def sentence_words(sents: DataFrame, keys: list[str], stop: list[str] | None = None, apart: bool = False) -> DataFrame:
+    """Lemma (lower-case word) counts per sentence without stop words: keys, sent_no, lemma, n. Rows with the same keys and sent_no
+    are one sentence; with apart there are none such, and nothing is shuffled."""
+    each = sents.select(*keys, "sent_no", F.inline(counted(lemmas(F.col("sentence"), stop))))
+    return each if apart else each.groupBy(*keys, "sent_no", "lemma").agg(F.sum("n").alias("n"))
+
+
+def document_words(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """sentence_words of a table of texts. Only texts whose keys other rows have too are shuffled, which are looked for first."""
+    same = [F.col(k).eqNullSafe(F.col(f"again_{n}")) for n, k in enumerate(keys)]
+    again = docs.groupBy(*keys).count().where("count > 1").select(*(F.col(k).alias(f"again_{n}") for n, k in enumerate(keys)))
+    many = again.limit(BROADCAST_ROWS + 1).count()
+    if not many:
+        return sentence_words(sentence_table(docs, keys, text), keys, apart=True)
+    again = again.hint("broadcast") if many <= BROADCAST_ROWS else again
+    once, more = (sentence_table(docs.join(again, same, how), keys, text) for how in ("left_anti", "left_semi"))
+    return sentence_words(once, keys, apart=True).union(sentence_words(more, keys))
 
 
 def rollup(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -283,7 +283,7 @@ LEMMAS = SENTS + f", l as (select doc_id, sent_no, unnest({fx.TOKENS_SQL.format(
 
 @query(LEMMAS + " select doc_id, sent_no, lemma, n from c")
 def sentence_words(spark, sf_dir):
-    return text.sentence_words(sentence_split(spark, sf_dir), ["doc_id"])
+    return text.document_words(fx.table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @query(LEMMAS + " select source as book_id, lemma, sum(n)::bigint as n from c join documents using (doc_id) group by 1, 2")

@@ -1,6 +1,8 @@
 import io
 import json
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 
@@ -120,3 +122,20 @@ def test_plugins():
     with pytest.raises(ValueError, match="unknown"):
         plugins.get("summary", "nothing")
     assert plugins.messages("s", "p", {"file": "x"}) == "s\n\nfile: x\n\np"
+
+
+def test_sentence_words_count_where_the_sentence_is(spark):
+    texts = ["The cat saw a cat. A dog, Dog dog! It ran", "", None, "zebra " * 5000 + "apple Zebra", "One. One one? ÄÖ äö", "of the and"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(4, "One two. Three"), (None, "null one"), (None, "null two. three"), (9, "last last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stop = {w for v in text.STOPWORDS.values() for w in v}
+    want = Counter()
+    for k, t in rows:
+        for no, sentence in enumerate(s for s in re.split(r"(?<=[.!?])\s+", t or "") if s):
+            want.update((k, no, w) for w in re.findall(r"[^\W\d_]+", sentence.lower()) if w not in stop)
+    got = text.document_words(docs, ["doc_id"])
+    assert got.dtypes == [("doc_id", "bigint"), ("sent_no", "int"), ("lemma", "string"), ("n", "bigint")]
+    out = [tuple(r) for r in got.collect()]
+    assert len(out) == len(want) and {r[:3]: r[3] for r in out} == want
+    assert text.document_words(docs.where("doc_id < 4"), ["doc_id"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    assert sorted(map(tuple, text.sentence_words(text.sentence_table(docs, ["doc_id"]), ["doc_id"]).collect()), key=str) == sorted(out, key=str)
