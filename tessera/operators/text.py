@@ -92,6 +92,12 @@ def document_words(docs: DataFrame, keys: list[str], text: str = "text") -> Data
     return sentence_words(once, keys, apart=True).union(sentence_words(more, keys))
 
 
+def total_words(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Lemma counts summed over texts: keys, lemma, n. Sentences end at white space, so no word is in two of them, and texts need no splitting."""
+    words = docs.select(*keys, F.explode(lemmas(F.col(text))).alias("lemma"))
+    return words.groupBy(*keys, "lemma").agg(F.count(F.lit(1)).alias("n"))
+
+
 def rollup(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Word counts summed over sentences: keys, lemma, n."""
     return counts.groupBy(*keys, "lemma").agg(F.sum("n").alias("n"))

@@ -288,8 +288,7 @@ def sentence_words(spark, sf_dir):
 
 @query(LEMMAS + " select source as book_id, lemma, sum(n)::bigint as n from c join documents using (doc_id) group by 1, 2")
 def chapter_words(spark, sf_dir):
-    sents = text.sentence_table(fx.table(spark, sf_dir, "documents").withColumnRenamed("source", "book_id"), ["book_id", "doc_id"])
-    return text.rollup(text.sentence_words(sents, ["book_id", "doc_id"]), ["book_id"])
+    return text.total_words(fx.table(spark, sf_dir, "documents").withColumnRenamed("source", "book_id"), ["book_id"])
 
 
 ENT = (

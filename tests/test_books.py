@@ -139,3 +139,14 @@ def test_sentence_words_count_where_the_sentence_is(spark):
     assert len(out) == len(want) and {r[:3]: r[3] for r in out} == want
     assert text.document_words(docs.where("doc_id < 4"), ["doc_id"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
     assert sorted(map(tuple, text.sentence_words(text.sentence_table(docs, ["doc_id"]), ["doc_id"]).collect()), key=str) == sorted(out, key=str)
+
+
+def test_chapter_words_need_one_shuffle(spark):
+    rows = [(1, "a", "Cat cat. Dog the ΣΑΣ. ΟΔΟΣ"), (2, "a", "dog"), (3, "b", None), (4, "b", "cat!"), (4, "b", "cat? Cat"), (None, None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, book_id string, text string")
+    got = text.total_words(docs, ["book_id"])
+    sents = text.sentence_table(docs, ["book_id", "doc_id"])
+    want = text.rollup(text.sentence_words(sents, ["book_id", "doc_id"]), ["book_id"])
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert text.total_words(docs, ["book_id"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.book_id, r.lemma): r.n for r in got.collect()}["b", "cat"] == 3
